@@ -33,7 +33,7 @@ AS_GREEK = {v: k for k, v in GREEK_AS_LATIN.items()}
 RADICALS = dict(zip("⺠⻁⻄⻅⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻤⻥⻦⻨⻩⻬⻮⻰", "民虎西见贝车长门青韦页风飞食马鬼鱼鸟麦黄齐齿龙"))
 
 _JOINERS = "‌‍"
-_SUSPECT = re.compile(r"[^\x00-\x7e一-鿿、-】！-／：-＠]|　")
+_SUSPECT = re.compile(r"[^\x00-\x7e一-鿿、-】！-／：-＠]")
 _RUN = re.compile(r"[^\W\d_]+")
 _FOLDED: dict[str, str] = {}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import canon, copies, split
+from clausewright.llm import canon, copies, langid, sentences, split
 from clausewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,34 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return done.where(canon.differs(F.col("value"), F.col("canon"))).select("table_name", "field_name", "row_id")
 
 
+def _clause_fields(spark: SparkSession, d: str) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("zh_text", "en_text")]))
+    return table(spark, d, "regulation_clause").select("row_id", each.alias("v")).select("v.field_name", "row_id", "v.text")
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence with its number and place."""
+    fields = _clause_fields(spark, d)
+    return sentences.sentence_ends(fields, ["field_name", "row_id"], "text", sentences.train(fields, "text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The end of every sentence."""
+    return p3_sentences(spark, d).select("field_name", "row_id", "end_pos")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's segments with language and confidence."""
+    docs = table(spark, d, "documents")
+    boundaries = sentences.train(docs, "text")
+    return langid.segments(docs, "text", "lang", "doc_id", boundaries, langid.train(docs, "text", "lang", "doc_id", boundaries))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of documents with a missing or wrong label or several languages."""
+    return langid.mislabelled(p9_segments(spark, d)).select("doc_id", "seg_no", "seg_lang")
+
+
 def queries() -> dict[str, Query]:
     """All pN_ queries of this package."""
     here = globals()
