@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import canon, copies, langid, sentences, split
+from clausewright.llm import canon, copies, langid, leaks, mixing, sentences, split
 from clausewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,32 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_sentences(spark, d).select("field_name", "row_id", "end_pos")
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a window of an item within one edit, and the longest exact run."""
+    fields = ["question", "answer_gold", "evidence"]
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "qa_samples"), "doc_id", "text", "item_id", fields)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an exact run of an item, of the length that counts."""
+    return p7_leaks(spark, d).where("run >= `window`").select("doc_id", "item_id").distinct()
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+    targets = table(spark, d, "mix_targets")
+    return mixing.plan(mixing.sized(table(spark, d, "documents"), targets, "doc_id", "text", "source"), targets)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(*_mix(spark, d))
+
+
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Rate and copies of each document."""
+    return _mix(spark, d)[0]
+
+
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every document's segments with language and confidence."""
     docs = table(spark, d, "documents")
