@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import canon, copies, langid, leaks, mixing, sentences, split
+from clausewright.llm import align, canon, copies, langid, leaks, mixing, sentences, split
 from clausewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_sentences(spark, d).select("field_name", "row_id", "end_pos")
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that render each other, with a score."""
+    clauses = table(spark, d, "regulation_clause")
+    boundaries = sentences.train(_clause_fields(spark, d), "text")
+    return align.aligned(clauses, "row_id", "zh_text", "en_text", boundaries, align.train(clauses, "zh_text", "en_text", boundaries))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of sentences that render each other."""
+    return p4_pairs(spark, d).select("row_id", "zh_sent", "en_sent")
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a window of an item within one edit, and the longest exact run."""
     fields = ["question", "answer_gold", "evidence"]
