@@ -41,8 +41,9 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
     @F.pandas_udf("long")
     def count(batches: pd.Series) -> pd.Series:
+        # one text at a time: an encoding also holds offsets and words, many times the size of its text
         tok = _tokenizer(tokenizer)
-        return pd.Series([len(e.ids) for e in tok.encode_batch([t or "" for t in batches], add_special_tokens=False)])
+        return pd.Series([len(tok.encode(t, add_special_tokens=False).ids) if t else 0 for t in batches], dtype="int64")
 
     return count(text)
 
