@@ -6,6 +6,7 @@ Python agree on it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -96,6 +97,11 @@ def trim_ws(x: Column) -> Column:
     return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; an expression used inside a lambda would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def characters(x: Column) -> Column:
     """Array of the code points of a text; '' gives an empty array."""
     return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ""))
@@ -103,10 +109,16 @@ def characters(x: Column) -> Column:
 
 def query_terms(x: Column) -> Column:
     """Bigrams of the normalised lower-case text if it has an ideograph, else its words; repeated ones stay."""
-    n = F.lower(normalize(x))
-    c = characters(n)
-    grams = F.when(F.size(c) >= 2, F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), lambda i: F.concat(F.get(c, i), F.get(c, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.when(has_cjk(n), F.filter(grams, lambda g: F.trim(g) != "")).otherwise(F.regexp_extract_all(n, F.lit("[a-z0-9]+"), F.lit(0)))
+    def of(n: Column) -> Column:
+        return F.when(has_cjk(n), F.filter(let(characters(n), bigrams), lambda g: F.trim(g) != "")).otherwise(F.regexp_extract_all(n, F.lit("[a-z0-9]+"), F.lit(0)))
+
+    return let(F.lower(normalize(x)), of)
+
+
+def bigrams(c: Column) -> Column:
+    """Pairs of neighbours of an array of characters."""
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), lambda i: F.concat(F.get(c, i), F.get(c, i + 1)))
+    return F.when(F.size(c) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def clean_heading_suffix(x: Column) -> Column:
@@ -230,13 +242,17 @@ def translation_candidate(q: Column) -> Column:
     return _strip_question(normalize(F.when(has_cjk(n), _blank(n, TRANSLATION_ZH)).otherwise(_blank(F.lower(n), TRANSLATION_EN))))
 
 
+def _splitter(pattern: str) -> Callable[[Column], Column]:
+    return lambda s: F.split(s, pattern)
+
+
 def term_candidates(q: Column) -> Column:
     """Distinct terms a question may be about; split step by step, in order."""
     parts = F.array(_blank(F.lower(normalize(q)), CANDIDATE_MARKERS))
     for p in CANDIDATE_SPLITS:
-        parts = F.flatten(F.transform(parts, lambda s, p=p: F.split(s, p)))
+        parts = F.flatten(F.transform(parts, _splitter(p)))
     found = F.array_distinct(F.filter(F.transform(parts, lambda s: _strip_question(normalize(s))), lambda s: s != ""))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(translation_candidate(q)))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(translation_candidate(q))))
 
 
 def term_names(*names: Column, more: Column) -> Column:
