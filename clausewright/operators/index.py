@@ -7,10 +7,11 @@ posting so that a type filter reaches the scan; idf stays global.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as X
+from clausewright.plans.lineage import cut
 
 
 def gram_text(x: Column) -> Column:
@@ -31,8 +32,11 @@ def grams(x: Column, least: int = 2, most: int = 4) -> Column:
 def term_frequency(records: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """(key, keep..., gram, tf): counted within a record before anything is shuffled."""
     keep = keep or []
-    rows = records.select(key, *keep, F.explode(grams(F.coalesce(F.col(text), F.lit("")))).alias("gram"))
-    return rows.groupBy(key, *keep, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    # texts move once, by record; the far larger grams are then counted where they arise. The number of
+    # partitions is given, since by the size of the texts alone they would be merged into too few
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = records.select(key, *keep, F.coalesce(F.col(text), F.lit("")).alias("_t")).repartition(parts, F.col(key))
+    return rows.select(key, *keep, F.explode(grams(F.col("_t"))).alias("gram")).groupBy(key, *keep, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def inverse_frequency(tf: DataFrame, records: int) -> DataFrame:
@@ -45,14 +49,15 @@ def weighted(tf: DataFrame, idf: DataFrame, key: str, keep: list[str] | None = N
     """(key, keep..., gram, w): (1 + ln tf) * idf over the length of the record's vector."""
     keep = keep or []
     raw = tf.join(idf.select("gram", "idf"), "gram").withColumn("_w", (F.log(F.col("tf").cast("double")) + 1) * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    return raw.join(norm, key).select(key, *keep, "gram", (F.col("_w") / F.col("_n")).alias("w"))
+    # a window's group is one record
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return raw.withColumn("_n", norm).select(key, *keep, "gram", (F.col("_w") / F.col("_n")).alias("w"))
 
 
 def build(records: DataFrame, key: str, text: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, idf) of the records."""
     n = records.count()
-    tf = term_frequency(records, key, text, keep)
+    tf = cut(term_frequency(records, key, text, keep))
     idf = inverse_frequency(tf, n)
     return weighted(tf, idf, key, keep), idf
 
@@ -88,7 +93,5 @@ def search(queries: DataFrame, postings: DataFrame, idf: DataFrame, key: str, qu
 
 def top_hits(scored: DataFrame, group: list[str], order: list[Column], top: int) -> DataFrame:
     """Rows ranked 1..top within their group; the rank filter is a limit below the window's shuffle."""
-    from pyspark.sql import Window
-
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col("rank") <= max(top, 1))

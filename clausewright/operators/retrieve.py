@@ -6,7 +6,7 @@ tables are never paired with each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as X
@@ -74,7 +74,7 @@ def dictionary_matches(queries: DataFrame, terms: DataFrame, key: str, query_id:
 
 def dictionary_search(queries: DataFrame, terms: DataFrame, key: str, postings: DataFrame | None = None, idf: DataFrame | None = None, top: int = 8, query_id: str = "query_id") -> DataFrame:
     """(query_id, key, score, rank): best dictionary matches, ties by key; questions without one search the index."""
-    found = index.top_hits(dictionary_matches(queries, terms, key, query_id), [query_id], [F.desc("score"), F.asc(key)], top).select(query_id, key, "score", "rank")
+    found = index.top_hits(dictionary_matches(queries, terms, key, query_id), [query_id], [F.desc("score"), F.asc(key)], top).select(query_id, key, "score", "rank").persist()
     if postings is None:
         return found
     rest = queries.join(found.select(query_id).distinct(), query_id, "left_anti")
@@ -106,12 +106,11 @@ def regulation_search(queries: DataFrame, wide: DataFrame, postings: DataFrame,
     Each search takes the larger of 4 * top and 16; the union isn't cut back.
     """
     n, kind = max(top * 4, 16), ["regulation_clause"]
+    wide = wide.persist()
     first = index.search(wide, postings, idf, key, query_id, top=n, types=kind).withColumn("origin", F.lit("expanded"))
     raw = index.search(queries, postings, idf, key, query_id, top=n, types=kind).withColumn("origin", F.lit("raw"))
     new = raw.join(first.select(query_id, key), [query_id, key], "left_anti").withColumn("rank", F.col("rank") + n)
     both = first.unionByName(new)
-    from pyspark.sql import Window
-
     order = Window.partitionBy(query_id).orderBy("rank")
     return both.select(query_id, key, F.round("score", 6).alias("score"), "origin", F.row_number().over(order).alias("rank"))
 
