@@ -181,14 +181,15 @@ def vocabulary(values: DataFrame, column: str) -> DataFrame:
 def repairs(values: DataFrame, column: str, vocab: DataFrame, glue_min: int = 3) -> DataFrame:
     """(token, repaired): accepted repairs of all suspicious tokens of the column.
 
-    Accepted is a repair that the vocabulary holds, more often than the token
-    itself, or that is a concatenation of words seen at least ``glue_min``
+    Accepted is a repair that the vocabulary holds (if the token is of one
+    script, more often than the token itself), or that is a concatenation of words seen at least ``glue_min``
     times each (lost spaces glue words together).
     """
     tokens = values.select(F.explode(suspicious_tokens(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("own"))
     cand = tokens.select("token", "own", F.posexplode(offered("token")).alias("rank", "repaired")).withColumn("word", F.lower("repaired"))
     known = cand.join(vocab, "word", "left")
-    whole = known.where("n is not null and n > own").select("token", "repaired", "rank")
+    mixed = F.col("token").rlike("[A-Za-z\u00c0-\u024f]")  # a token of one foreign script may be a foreign word
+    whole = known.where(F.col("n").isNotNull() & (mixed | (F.col("n") > F.col("own")))).select("token", "repaired", "rank")
     open_ = known.where("n is null and length(word) >= 6")
     parts = open_.select("token", "rank", F.col("word").alias("whole"), "repaired", F.explode(_parts("word")).alias("word"))
     glued = (

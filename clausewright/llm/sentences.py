@@ -278,7 +278,7 @@ class BoundaryModel:
         z = [30.0 if g.kind == _FORCED else self.odds(g.w, g.m, g.x, g.cls, g.y) for g in found]
         n = len(z)
         p1 = [1 / (1 + math.exp(-v)) for v in z]
-        joint = [self.SHORT.get(g.tokens, 1.0) for g in found]  # factor if this gap and the one before are both boundaries
+        joint = [self.SHORT.get(g.tokens, 1.0) if g.m[:1] in (".", "．") or not g.tokens else 1.0 for g in found]  # factor if this gap and the one before are both boundaries
         fwd = []
         a0, a1 = 0.0, 1.0  # the start of the text is a boundary
         for k in range(n):
