@@ -123,21 +123,15 @@ def gaps(raw: str | None) -> list[Gap]:
         return ("#" if kind == "num" else text[a:b].casefold()), ("" if shouting and cls in "Ul" else cls)
 
     def after(i: int) -> tuple[str, str, str]:
-        """Word, class and next word from token i on."""
-        while i < len(tokens) and tokens[i][0] in ("sp", "nl"):
+        """Word, class and next word from token i on; an opening quote or bracket is one with what it opens."""
+        seen = []
+        while i < len(tokens) and len(seen) < 3:
+            if tokens[i][0] == "nl" and seen:
+                break
+            if tokens[i][0] not in ("sp", "nl"):
+                seen.append((*name(i), tokens[i][2] - tokens[i][1] > 1 and tokens[i][0] == "cjk"))
             i += 1
-        if i >= len(tokens):
-            return "", "", ""
-        x, cls = name(i)
-        y = ""
-        if cls == "C" and tokens[i][2] - tokens[i][1] > 1:
-            y = "C"
-        elif i + 1 < len(tokens) and tokens[i + 1][0] not in ("nl",):
-            j = i + 1 + (tokens[i + 1][0] == "sp")
-            if j < len(tokens) and tokens[j][0] != "nl":
-                y, ycls = name(j)
-                y = y if x == "#" or cls == "o" else ycls or "l"
-        return x, cls, y
+        return _ahead(seen)
 
     out: list[Gap] = []
     count, fresh, prev = 0, True, -1  # tokens since the last gap; whether a numbering could stand here; last visible token
@@ -217,19 +211,22 @@ def gaps(raw: str | None) -> list[Gap]:
     return out
 
 
-def first_words(raw: str) -> tuple[str, str, str]:
-    """Word, class and next word at the start of a text."""
-    tokens = [(m.lastgroup, m.group()) for m in _TOKEN.finditer(_INVISIBLE.sub("", raw[:400])) if m.lastgroup not in ("sp", "nl")][:2]
-    if not tokens:
+def _ahead(seen: list[tuple[str, str, bool]]) -> tuple[str, str, str]:
+    """Context from the next tokens: (name, class, whether more ideographs follow in the run)."""
+    if not seen:
         return "", "", ""
+    (x, cls, more), rest = seen[0], seen[1:]
+    if cls == "o" and rest and (x in _PAIRS or x in _CLOSERS):
+        x, more, rest = x + rest[0][0], rest[0][2], rest[1:]
+    y = "C" if more else (rest[0][0] if x == "#" else rest[0][1] or "l") if rest else ""
+    return x, cls, y
 
-    def norm(kind: str, token: str) -> str:
-        return "#" if kind == "num" else token[0] if kind == "cjk" else token.casefold()
 
-    x, cls = norm(*tokens[0]), _class(*tokens[0])
-    if cls == "C" and len(tokens[0][1]) > 1:
-        return x, cls, "C"
-    return x, cls, "" if len(tokens) < 2 else (norm(*tokens[1]) if x == "#" or cls == "o" else _class(*tokens[1]))
+def first_words(raw: str) -> tuple[str, str, str]:
+    """Word, class and next word at the start of a text."""
+    found = [(m.lastgroup, m.group()) for m in _TOKEN.finditer(_INVISIBLE.sub("", raw[:400])) if m.lastgroup not in ("sp", "nl")][:3]
+    names = [("#" if k == "num" else t[0] if k == "cjk" else t.casefold(), "C" if k == "cjk" else _class(k, t), k == "cjk" and len(t) > 1) for k, t in found]
+    return _ahead(names)
 
 
 @dataclass
@@ -257,7 +254,9 @@ class BoundaryModel:
         """Log odds of a boundary in this context against none."""
         t = self.totals
         uni = (self.word.get(x, 0) + 0.5) / (self.words + 0.5 * len(self.word) + 1)
-        pm = (self.end_m.get(m, 0) + 3 * self.PRIOR.get(m, 0.9 if m[-1:] in _CLOSERS else 0.998)) / (self.end_m.get(m, 0) + t.get(("gm", m), 0) + 3)
+        hard = m not in self.PRIOR and m[-1:] not in _CLOSERS  # marks that hardly do anything else
+        k, prior = (60, 0.998) if hard else (3, self.PRIOR.get(m, 0.9))
+        pm = (self.end_m.get(m, 0) + k * prior) / (self.end_m.get(m, 0) + t.get(("gm", m), 0) + k)
         e, g = self.end.get((w, m), 0), t.get(("g", w, m), 0)
         pe = (e + 2 * pm) / (e + g + 2)
         ps = (self.start.get(x, 0) + t["starts"] * uni) / (t["s"] + t["starts"])
@@ -265,7 +264,7 @@ class BoundaryModel:
         pgm = (max(0.0, self.go_m.get((m, x), 0) - 1) + 20 * uni) / (t.get(("gm", m), 0) + 20)
         pg = (max(0.0, self.go.get((w, m, x), 0) - 1) + 5 * pgm) / (g + 5)
         z = math.log(pe / (1 - pe)) + math.log(ps / pg)
-        if cls:
+        if cls and cls != "o":
             ce = (self.cls_end.get(cls, 0) + 1) / (t["ce"] + 6)
             cg = (self.cls_go.get(cls, 0) + 1) / (t["cg"] + 6)
             z += 0.5 * math.log(ce / cg)
