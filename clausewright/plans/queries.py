@@ -225,6 +225,11 @@ def q31_citations(spark: SparkSession, d: str) -> DataFrame:
     return cited.select("query_id", F.size("citations").alias("cited"), F.array_join(F.col("citations.record_id"), "|").alias("record_ids"))
 
 
+def q32_answers(spark: SparkSession, d: str) -> DataFrame:
+    got = rank.composed(rank.reranked(_hits(spark, d), top=3))
+    return got.select("query_id", "answer", F.size("citations").alias("cited"))
+
+
 def q37_qa_log(spark: SparkSession, d: str) -> DataFrame:
     """Log entries once each with what they cite, the first delivery winning."""
     log = table(spark, d, "qa_log")

@@ -69,8 +69,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(path, *b) for b in blocks_of(content, path)], columns=["path", "ord", "block_type", "text", "cell_rows"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of every document that the path (a file, folder or pattern) names."""
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Blocks of every document that the path or paths (files, folders or patterns) name."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_parse, SCHEMA)
 
 

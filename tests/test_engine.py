@@ -1,6 +1,7 @@
 """Segmentation, index, retrieval and sources on small fixtures against plain loops."""
 
 import io
+import json
 import math
 import random
 import re
@@ -10,6 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from clausewright import cli
 from clausewright.operators import evaluate, index, ordered, packed, rank, retrieve, segment
 from clausewright.sources import docx, sinks
 from clausewright.streaming import ask
@@ -173,6 +175,26 @@ def test_docx(spark, tmp_path):
         docx.blocks_of(empty.getvalue())
 
 
+def test_build_and_ask(spark, tmp_path):
+    rule = "".join(para(f"<w:t>{t}</w:t>") for t in ["目录", "第一部分 总 则", "Part I General", "接触网检修应先停电，再验电。", "De-energize the contact line before work.", "绝缘子每年清扫一次，并记录结果。"])
+    words = "".join(para(f"<w:t>{t}</w:t>") for t in ["通用词汇 General vocabulary", "母线 busbar", "接触线 contact wire", "Z 1 汉英索引", "后 late"])
+    (tmp_path / "c").mkdir()
+    for name, body in (("r.docx", rule), ("g.docx", words)):
+        (tmp_path / name).write_bytes(document(f"<w:body>{body}</w:body>"))
+    (tmp_path / "c" / "s.yaml").write_text(json.dumps({
+        "paths": {"unified_jsonl": "out/lines", "vector_index": "out/index", "output_dir": "out"},
+        "documents": {"regulation": {"file": "r.docx", "source_id": "r", "title": "规程"}, "glossary": {"file": "g.docx", "source_id": "g", "title": "词表"}},
+        "retrieval": {"top_k": 2},
+    }), encoding="utf-8")
+    settings = sinks.read_settings(str(tmp_path / "c" / "s.yaml"))
+    assert {r.record_type: r.records for r in cli.build(spark, settings).collect()} == {"regulation_clause": 2, "glossary_term": 2}
+    q = spark.createDataFrame([(1, "“母线”英文怎么说？"), (2, "绝缘子多久清扫？"), (3, "论文的创新点")], "query_id long, query string")
+    got = {r.query_id: r for r in cli.ask(spark, settings, q).collect()}
+    assert got[1].answer == "母线 / busbar" and len(got[1].citations) == 1
+    assert got[2].answer.startswith("绝缘子每年清扫一次") and got[2].citations[0].record_id == "r_clause_0002"
+    assert got[3].answer is None and got[3].query_type == "paper"
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "乙", None), (1, "甲", "x")], "i long, s string, t string")
     sinks.write_json_lines(df, str(tmp_path / "lines"), ["i"], 2)
