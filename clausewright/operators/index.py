@@ -75,6 +75,11 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFr
     return tuple(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "idf", "records"))
 
 
+def beside(derived: DataFrame, queries: DataFrame, small: int = 10_000) -> DataFrame:
+    """What was derived from the questions, marked for broadcast only if there are at most ``small`` of them."""
+    return F.broadcast(derived) if queries.limit(small + 1).count() <= small else derived
+
+
 def search(queries: DataFrame, postings: DataFrame, idf: DataFrame, key: str, query_id: str = "query_id", query: str = "query", top: int = 5, types: list[str] | None = None, small: int = 10_000) -> DataFrame:
     """(query_id, key, score, rank): best records of each query by cosine, ties by key descending.
 
@@ -84,8 +89,7 @@ def search(queries: DataFrame, postings: DataFrame, idf: DataFrame, key: str, qu
     """
     tf = term_frequency(queries.where(F.col(query).isNotNull()), query_id, query)
     vectors = weighted(tf, idf, query_id).withColumnRenamed("w", "qw")
-    if queries.limit(small + 1).count() <= small:
-        vectors = F.broadcast(vectors)
+    vectors = beside(vectors, queries, small)
     rows = postings.where(F.col("record_type").isin(types)) if types else postings
     scored = rows.join(vectors, "gram").groupBy(query_id, key).agg(F.sum(F.col("qw") * F.col("w")).alias("score")).where("score > 0")
     return top_hits(scored, [query_id], [F.desc(F.round("score", 9)), F.desc(key)], top)

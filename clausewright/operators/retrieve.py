@@ -54,9 +54,9 @@ def dictionary_matches(queries: DataFrame, terms: DataFrame, key: str, query_id:
     # equal names of many terms are looked up once
     distinct = alias.select("alias").distinct()
     each = cand.select("candidate").distinct()
-    inside = distinct.join(F.broadcast(each.select("candidate", F.explode(_parts(F.col("candidate"))).alias("alias"))), "alias")
+    inside = distinct.join(index.beside(each.select("candidate", F.explode(_parts(F.col("candidate"))).alias("alias")), queries), "alias")
     heads = each.select("candidate", F.when(F.length("candidate") == 1, F.col("candidate")).otherwise(F.substring("candidate", 1, 2)).alias("head"))
-    around = distinct.select("alias", F.explode(_heads(F.col("alias"))).alias("head")).join(F.broadcast(heads), "head").where(F.col("alias").contains(F.col("candidate")))
+    around = distinct.select("alias", F.explode(_heads(F.col("alias"))).alias("head")).join(index.beside(heads, queries), "head").where(F.col("alias").contains(F.col("candidate")))
     pairs = inside.select("candidate", "alias").union(around.select("candidate", "alias")).distinct()
     hits = alias.join(pairs, "alias").join(cand, "candidate")
     counted = hits.groupBy(query_id, key).agg(F.sum((F.col("candidate") == F.col("alias")).cast("int")).alias("exact"), F.count(F.lit(1)).alias("contained"))

@@ -7,7 +7,7 @@ texts give no line; sources and headings may be missing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as X
@@ -128,16 +128,17 @@ def folded(rows: DataFrame) -> DataFrame:
     return runs.select("source_id", "_f.ord", "_f.block_id", "line")
 
 
-def category_keys(spark, anchors: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(key, category_zh, category_en): each anchor under its key and under the key doubled."""
-    base = spark.createDataFrame(anchors or X.CATEGORIES, "category_zh string, category_en string")
+def category_keys(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(key, category_zh, category_en): each anchor, the fixed ones and ``more``, under its key and under the key doubled."""
+    base = spark.createDataFrame(X.CATEGORIES, "category_zh string, category_en string")
+    base = base if more is None else base.unionByName(more.select("category_zh", "category_en")).distinct()
     key = X.anchor_key(F.concat("category_zh", "category_en"))
     return base.select(F.explode(F.array(key, F.concat(key, key))).alias("key"), X.normalize(F.col("category_zh")).alias("category_zh"), X.normalize(F.col("category_en")).alias("category_en"))
 
 
 def with_category(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Lines with the category announced last before them (the first anchor's by default) and whether they announce one."""
-    found = rows.join(F.broadcast(keys), X.anchor_key(F.col("line")) == F.col("key"), "left")
+    found = rows.join(keys, X.anchor_key(F.col("line")) == F.col("key"), "left")
     d = ordered.bucketed(found, "ord").withColumn("is_anchor", F.col("key").isNotNull())
     own = F.when(F.col("is_anchor"), F.struct("category_zh", "category_en"))
     d = ordered.last_seen(d.withColumn("_own", own).drop("category_zh", "category_en", "key"), GROUP, ORDER, {"_cat": F.col("_own")})

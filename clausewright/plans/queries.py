@@ -105,8 +105,7 @@ def q13_abbrev_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 def q14_category_carry(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "glossary_term")
-    anchors = [tuple(r) for r in g.where("category_zh <> ''").select("category_zh", F.coalesce("category_en", F.lit(""))).distinct().limit(1000).collect()]
-    keys = segment.category_keys(spark, X.CATEGORIES + sorted(anchors))
+    keys = segment.category_keys(spark, g.where("category_zh <> ''").select("category_zh", F.coalesce("category_en", F.lit("")).alias("category_en")).distinct())
     both = F.posexplode(F.array(F.concat_ws(" ", "category_zh", "category_en"), F.coalesce("term_zh", F.lit(""))))
     rows = g.select("source_id", "row_id", both.alias("pos", "line")).select("source_id", F.col("row_id").alias("ord"), (F.col("row_id") * 2 + F.col("pos")).alias("block_id"), "line")
     return segment.with_category(rows, keys).select("block_id", "is_anchor", "category_zh", "category_en")
