@@ -139,12 +139,24 @@ class _Side:
         return False
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, fields: list[str], budget: int = 1) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, fields: list[str], budget: int = 1, block: int = 20_000) -> DataFrame:
     """(doc_id, item_id, run, window): the items of which a document holds a window within the budget.
 
-    ``run`` is the longest exact run in the item's unit, ``window`` the length that counts.
+    ``run`` is the longest exact run in the item's unit, ``window`` the length
+    that counts. At most about ``block`` items go to the executors at once;
+    more are searched in several passes.
     """
-    held = [tuple(r) for r in items.select(F.col(item_id).cast("long"), *fields).where(F.col(item_id).isNotNull()).distinct().collect()]
+    wanted = items.select(F.col(item_id).cast("long").alias("i"), *fields).where("i is not null").distinct()
+    passes = max(1, -(-wanted.count() // block))
+    found = [_pass(documents, wanted.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n) if passes > 1 else wanted, doc_id, text, item_id, budget) for n in range(passes)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _pass(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, budget: int) -> DataFrame:
+    held = [tuple(r) for r in items.collect()]
     shared = documents.sparkSession.sparkContext.broadcast(held)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -251,6 +251,8 @@ def test_leaks_against_brute_force(spark):
                 want.add((d, i))
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, q string, a string"), "doc_id", "text", "item_id", ["q", "a"])
     assert {(r.doc_id, r.item_id) for r in got.where("run >= `window`").collect()} == want and want
+    few = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, q string, a string"), "doc_id", "text", "item_id", ["q", "a"], block=3)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, got.collect()))
 
 
 # --- 8 mixing
