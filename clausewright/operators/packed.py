@@ -61,6 +61,8 @@ def _atoms(text: str) -> list[bool]:
                 if not depth:
                     j = k
                     break
+            if j < 0 and ch in "([{":  # opened by one kind of bracket and closed by another
+                j = next((k for k in range(i + 1, n) if text[k] in ")]}】"), -1)
         if j > i:
             inside[i : j + 1] = [True] * (j + 1 - i)
             i = j + 1
@@ -103,17 +105,20 @@ def lattice(raw: str | None) -> tuple[list[str], list[str]]:
     spans = [(a, b, "n") for a, b in numbers]
     if not numbers:
         inside = _atoms(scan)
-        for m in _DELIMITER.finditer(scan):
-            a, b = m.span()
+        for found in _DELIMITER.finditer(scan):
+            a, b = found.span()
             if any(inside[a:b]):
                 continue
-            mark = m.group().strip(" ") or m.group()
-            tight = mark == m.group()
+            mark = found.group().strip(" ") or found.group()
+            tight = mark == found.group()
             if tight and mark in ",/" and a and b < len(scan):
-                left, right = re.search(r"\w*$", scan[:a]).group(), re.match(r"\w*", scan[b:]).group()
+                left, right = re.search(r"[^\W_]*$", scan[:a]).group(), re.match(r"[^\W_]*", scan[b:]).group()
+                # words may be glued to an expression by lost spaces; then its capitals show where it ends
+                left = m.group() if (m := re.search(r"(?<=[^\W\d_A-Z])[A-Z]{1,3}$", left)) else left
+                right = m.group() if (m := re.match(r"[A-Z]{1,3}(?=[^\W\d_A-Z])", right)) else right
                 if left[-1:].isdigit() and right[:1].isdigit() and (mark == "/" or re.fullmatch(r"\d{1,3}", left) and re.match(r"\d{3}(?!\d)", scan[b:])):
                     continue
-                if mark == "/" and 0 < len(left) <= 3 and 0 < len(right) <= 3:
+                if mark == "/" and left and right and (len(left) <= 3 and len(right) <= 3 or len(left) == 1):
                     continue
             spans.append((a, b, mark[0] + ("t" if tight else "s")))
     pieces, kinds, start = [], [], 0
