@@ -4,7 +4,8 @@ A plain window over a source id puts a source with a third of all rows into one
 task. Here each group is cut into buckets along its order; windows run within
 buckets, one summary row per bucket is scanned along the group, and its result
 is carried into the buckets. The rows feed both the windows and the summary, so
-they are kept (memory, then disk) instead of being made twice at each step.
+each step cuts its lineage in the shared folder; otherwise work and plan would
+double from step to step.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausewright.plans.lineage import cut
+
 BUCKET = 4096
 
 
@@ -38,7 +41,7 @@ def _carry(df: DataFrame, summary: DataFrame, group: list[str]) -> DataFrame:
 
 def neighbour(df: DataFrame, group: list[str], order: list[str], value: str, out: str, step: int) -> DataFrame:
     """``out``: the value of the next (step 1) or previous (step -1) row of the group, null at its end."""
-    df, w = df.persist(), _local(group, order)
+    df, w = cut(df), _local(group, order)
     edge = F.min_by if step > 0 else F.max_by
     ends = df.groupBy(*group, "_bucket").agg(edge(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_e"))
     shift = F.lead("_e.v") if step > 0 else F.lag("_e.v")
@@ -51,7 +54,7 @@ def neighbour(df: DataFrame, group: list[str], order: list[str], value: str, out
 
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """``out``: sum of ``value`` over the group up to and including the row."""
-    here = df.withColumn("_v", value).persist()
+    here = cut(df.withColumn("_v", value))
     sums = here.groupBy(*group, "_bucket").agg(F.sum("_v").alias("_s"))
     summary = sums.withColumn("_before", F.coalesce(F.sum("_s").over(_along(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     local = F.sum("_v").over(_local(group, order).rowsBetween(Window.unboundedPreceding, 0))
@@ -60,7 +63,7 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column
 
 def last_seen(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """For each name the last non-null value of its column up to and including the row."""
-    here = df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()]).persist()
+    here = cut(df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()]))
     pick = [F.max_by(f"_v_{k}", F.when(F.col(f"_v_{k}").isNotNull(), F.struct(*order))).alias(f"_s_{k}") for k in values]
     before = _along(group).rowsBetween(Window.unboundedPreceding, -1)
     sums = here.groupBy(*group, "_bucket").agg(*pick)
