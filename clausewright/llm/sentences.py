@@ -9,9 +9,10 @@ certain boundaries give the first estimate, and two or three rounds settle
 abbreviations, numberings and quotations. Scripts that write neither spaces
 between words nor sentence marks have a gap at each space.
 
-The model is bounded: the ``max_contexts`` most frequent contexts and
-``max_words`` most frequent words are kept (rarer ones fall back to their
-class), so what reaches the driver and the executors doesn't grow with the data.
+Every context and every word counts, however rare: the sums of each round are
+taken in Spark, and the model is one sorted array of 64-bit digests with one of
+numbers. It takes 16 bytes for each context and shorter context, so it grows
+with the variety of the texts, not with their number.
 
 Defined results: null, '' and white space give no sentence; end positions
 count characters of the raw text, closing marks included, white space and
@@ -20,14 +21,16 @@ invisible characters after the sentence excluded.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -229,47 +232,65 @@ def first_words(raw: str) -> tuple[str, str, str]:
     return _ahead(names)
 
 
+def _digest(*key: str) -> int:
+    """64 bits that stand for a table's name and a key in it."""
+    return int.from_bytes(hashlib.blake2b("\x1f".join(key).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 @dataclass
 class BoundaryModel:
     """Counts of the hidden-event model; all probabilities are smoothed towards shorter contexts."""
 
-    word: dict = field(default_factory=dict)
+    digests: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # ascending
+    numbers: np.ndarray = field(default_factory=lambda: np.empty(0))
     words: float = 1.0
-    end: dict = field(default_factory=dict)
-    end_m: dict = field(default_factory=dict)
-    go: dict = field(default_factory=dict)
-    go_m: dict = field(default_factory=dict)
-    start: dict = field(default_factory=dict)
-    start_y: dict = field(default_factory=dict)
-    cls_end: dict = field(default_factory=dict)
-    cls_go: dict = field(default_factory=dict)
-    ycount: dict = field(default_factory=dict)
-    totals: dict = field(default_factory=dict)
+    kinds: int = 0  # different words
+    starts: float = 1.0
+    known: dict = field(default_factory=dict)
 
     # Share of marks that end a sentence before anything is known, and sentences of one or two tokens.
     PRIOR = {".": 0.6, "．": 0.7, ".c": 0.98, "．c": 0.98, " ": 0.5, "": 0.5}
     SHORT = {0: 0.001, 1: 0.02, 2: 0.3}
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
+
+    def count(self, *key: str) -> float:
+        """Number of a key in a table, 0 if it wasn't seen."""
+        d = _digest(*key)
+        i = int(self.digests.searchsorted(d))
+        return float(self.numbers[i]) if i < len(self.digests) and self.digests[i] == d else 0.0
+
     def odds(self, w: str, m: str, x: str, cls: str, y: str) -> float:
         """Log odds of a boundary in this context against none."""
-        t = self.totals
-        uni = (self.word.get(x, 0) + 0.5) / (self.words + 0.5 * len(self.word) + 1)
+        z = self.known.get((w, m, x, cls, y))
+        if z is None:
+            # contexts recur, so what was worked out is kept
+            if len(self.known) >= 100_000:
+                self.known.clear()
+            z = self.known[w, m, x, cls, y] = self._odds(w, m, x, cls, y)
+        return z
+
+    def _odds(self, w: str, m: str, x: str, cls: str, y: str) -> float:
+        n = self.count
+        uni = (n("word", x) + 0.5) / (self.words + 0.5 * self.kinds + 1)
         hard = m not in self.PRIOR and m[-1:] not in _CLOSERS  # marks that hardly do anything else
         k, prior = (60, 0.998) if hard else (3, self.PRIOR.get(m, 0.9))
-        pm = (self.end_m.get(m, 0) + k * prior) / (self.end_m.get(m, 0) + t.get(("gm", m), 0) + k)
-        e, g = self.end.get((w, m), 0), t.get(("g", w, m), 0)
+        em, gm, start = n("end_m", m), n("gm", m), n("start", x)
+        pm = (em + k * prior) / (em + gm + k)
+        e, g = n("end", w, m), n("g", w, m)
         pe = (e + 2 * pm) / (e + g + 2)
-        ps = (self.start.get(x, 0) + t["starts"] * uni) / (t["s"] + t["starts"])
+        ps = (start + self.starts * uni) / (n("s") + self.starts)
         # absolute discounting: a context seen once must not confirm itself
-        pgm = (max(0.0, self.go_m.get((m, x), 0) - 1) + 20 * uni) / (t.get(("gm", m), 0) + 20)
-        pg = (max(0.0, self.go.get((w, m, x), 0) - 1) + 5 * pgm) / (g + 5)
+        pgm = (max(0.0, n("go_m", m, x) - 1) + 20 * uni) / (gm + 20)
+        pg = (max(0.0, n("go", w, m, x) - 1) + 5 * pgm) / (g + 5)
         z = math.log(pe / (1 - pe)) + math.log(ps / pg)
         if cls and cls != "o":
-            ce = (self.cls_end.get(cls, 0) + 1) / (t["ce"] + 6)
-            cg = (self.cls_go.get(cls, 0) + 1) / (t["cg"] + 6)
+            ce = (n("cls_end", cls) + 1) / (n("s") + 6)
+            cg = (n("cls_go", cls) + 1) / (n("cg") + 6)
             z += 0.5 * math.log(ce / cg)
-        py = (self.ycount.get(y, 0) + 1) / (t["y"] + 100)
-        z += math.log((self.start_y.get((x, y), 0) + 5 * py) / (self.start.get(x, 0) + 5) / py)
+        py = (n("ycount", y) + 1) / (n("y") + 100)
+        z += math.log((n("start_y", x, y) + 5 * py) / (start + 5) / py)
         return max(-30.0, min(30.0, z))
 
     def posteriors(self, found: list[Gap]) -> list[float]:
@@ -302,45 +323,25 @@ class BoundaryModel:
         found = gaps(raw)
         return [g.end for g, p in zip(found, self.posteriors(found)) if p >= 0.5 or g.kind == _FORCED]
 
-    @classmethod
-    def fit(cls, contexts: list[tuple], words: dict[str, int], rounds: int = 3) -> BoundaryModel:
-        """Expectation maximisation over (kind, w, m, x, cls, y, n)."""
-        model = None
-        for _ in range(rounds + 1):
-            new = cls(word=words, words=float(sum(words.values()) or 1))
-            d = {k: defaultdict(float) for k in ("end", "end_m", "go", "go_m", "start", "start_y", "cls_end", "cls_go", "ycount")}
-            t: dict = defaultdict(float)
-            for kind, w, m, x, c, y, n in contexts:
-                p = 1.0 if kind != _OPEN else (1 / (1 + math.exp(-model.odds(w, m, x, c, y))) if model else None)
-                if p is None:
-                    continue
-                # the certain ends alone would say that every mark ends a sentence, so the first estimate has the prior only
-                if kind != _START and m and model:
-                    d["end"][w, m] += n * p
-                    d["end_m"][m] += n * p
-                    if p < 1:
-                        d["go"][w, m, x] += n * (1 - p)
-                        d["go_m"][m, x] += n * (1 - p)
-                        t["g", w, m] += n * (1 - p)
-                        t["gm", m] += n * (1 - p)
-                        d["cls_go"][c] += n * (1 - p)
-                        t["cg"] += n * (1 - p)
-                if x:
-                    d["start"][x] += n * p
-                    d["start_y"][x, y] += n * p
-                    d["ycount"][y] += n
-                    d["cls_end"][c] += n * p
-                    t["s"] += n * p
-                    t["ce"] += n * p
-                    t["y"] += n
-            for k, v in d.items():
-                setattr(new, k, dict(v))
-            t["starts"] = float(min(len(d["start"]), 50) + 1)
-            for k in ("s", "ce", "cg", "y"):
-                t[k] += 0.0
-            new.totals = dict(t)
-            model = new
-        return model
+
+def _shares(contexts: Iterable[tuple], model: BoundaryModel | None) -> Iterator[tuple[float, tuple]]:
+    """What each (kind, w, m, x, cls, y, n) adds to which key, by the model of the round before."""
+    for kind, w, m, x, c, y, n in contexts:
+        p = 1.0 if kind != _OPEN else (1 / (1 + math.exp(-model.odds(w, m, x, c, y))) if model else None)
+        if p is None:
+            continue
+        # the certain ends alone would say that every mark ends a sentence, so the first estimate has the prior only
+        if kind != _START and m and model:
+            yield n * p, ("end", w, m)
+            yield n * p, ("end_m", m)
+            if p < 1:
+                for key in (("go", w, m, x), ("go_m", m, x), ("g", w, m), ("gm", m), ("cls_go", c), ("cg",)):
+                    yield n * (1 - p), key
+        if x:
+            for key in (("start", x), ("start_y", x, y), ("cls_end", c), ("s",)):
+                yield n * p, key
+            yield n, ("ycount", y)
+            yield n, ("y",)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -372,21 +373,55 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def train(texts: DataFrame, column: str, max_contexts: int = 200_000, max_words: int = 50_000) -> BoundaryModel:
-    """Model of all values of ``column``; ``max_contexts`` and ``max_words`` bound its size, not what is counted."""
+def train(texts: DataFrame, column: str, rounds: int = 3) -> BoundaryModel:
+    """Model of all values of ``column``: expectation maximisation, its sums taken over all contexts in each round."""
+    sc = texts.sparkSession.sparkContext
+    keys = ["kind", "w", "m", "x", "cls", "y"]
     counts = (
         texts.select(F.col(column).alias("text"))
         .where("text is not null")
         .mapInPandas(_count, "kind string, w string, m string, x string, cls string, y string, n long")
-        .groupBy("kind", "w", "m", "x", "cls", "y")
+        .repartition(max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism), *keys)
+        .groupBy(*keys)
         .agg(F.sum("n").alias("n"))
         .persist()
     )
-    order = [F.desc("n"), "kind", "w", "m", "x", "cls", "y"]
-    contexts = [tuple(r) for r in counts.where("kind <> 'u'").orderBy(*order).limit(max_contexts).toPandas().itertuples(index=False)]
-    words = counts.where("kind = 'u'").orderBy(*order).limit(max_words).select("w", "n").toPandas()
+    schema = "part string, digest long, n double"
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"part": "word", "digest": [_digest("word", w) for w in pdf["w"]], "n": pdf["n"].astype(float)})
+
+    words = counts.where("kind = 'u'").select("w", "n").mapInPandas(name, schema).toPandas()
+    model = None
+    for _ in range(rounds + 1):
+        shared = sc.broadcast(model)
+
+        def add(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            sums: defaultdict = defaultdict(float)
+
+            def flush() -> pd.DataFrame:
+                rows = [(k[0], _digest(*k), n) for k, n in sums.items()]
+                sums.clear()
+                return pd.DataFrame(rows, columns=["part", "digest", "n"])
+
+            for pdf in batches:
+                for n, k in _shares(pdf.itertuples(index=False, name=None), shared.value):
+                    sums[k] += n
+                if len(sums) > 200_000:
+                    yield flush()
+            yield flush()
+
+        sums = counts.where("kind <> 'u'").mapInPandas(add, schema).groupBy("part", "digest").agg(F.sum("n").alias("n"))
+        # what discounting makes nothing of is the same as unseen
+        got = pd.concat([words, sums.where("part not in ('go', 'go_m') or n > 1").toPandas()])
+        order = np.argsort(got["digest"].to_numpy(np.int64), kind="stable")
+        model = BoundaryModel(
+            got["digest"].to_numpy(np.int64)[order], got["n"].to_numpy(float)[order], float(words["n"].sum() or 1), len(words), float(min((got["part"] == "start").sum(), 50) + 1)
+        )
+        shared.unpersist()
     counts.unpersist()
-    return BoundaryModel.fit(contexts, dict(zip(words["w"], words["n"])))
+    return model
 
 
 def sentence_ends(texts: DataFrame, keys: list[str], column: str, model: BoundaryModel) -> DataFrame:

@@ -1,5 +1,6 @@
 """Training-text operators against brute force, round trips and hand-written cases."""
 
+import itertools
 import random
 
 import numpy as np
@@ -146,6 +147,14 @@ def test_sentence_rows(spark, model):
     assert sentences.sentence_ends(df.limit(0), ["id"], "text", model).count() == 0
 
 
+def test_rare_contexts_count(spark):
+    names = ["".join(c) for c in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 204_000)]
+    texts = ["\n".join(f"{n}a".capitalize() for n in names[i : i + 1000]) for i in range(0, len(names), 1000)]
+    texts += [f"Zz{n}\nZebra came." for n in names[:300]]
+    m = sentences.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), "text")
+    assert cut(m, "It is done. Zebra came.") == ["It is done.", "Zebra came."]
+
+
 # --- 4 alignment
 
 
