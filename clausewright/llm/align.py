@@ -10,8 +10,10 @@ Lengths cannot see sentences that were moved or don't belong here, so beads
 without lexical support are dissolved, and sentences left over are linked by
 coverage alone, in whatever order they stand.
 
-The lexicon is bounded by ``max_pairs`` entries, the most frequent ones; what
-is counted is every record.
+Every one-to-one bead is counted, however long, except those whose numbers
+contradict each other. The lexicon holds each pair seen ``least`` times that
+passes the association test and comes near the best partner of either unit; it
+grows with the vocabulary.
 
 Defined results: a record with one side null, '' or blank has no pair.
 """
@@ -37,6 +39,7 @@ _HAN = re.compile("[㐀-䶿一-鿿豈-﫿]+")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:'[a-z]+)?")
 _ANCHOR = re.compile(r"[A-ZÀ-Þ][A-Za-zÀ-ɏ]*-\d+|\d+(?:[.:]\d+)*")
 _LOOKS = str.maketrans(AS_LATIN)
+NEAR = 0.3  # least association of a partner in proportion to the best one
 BAND = 150  # half width of the alignment band in sentences
 
 
@@ -238,7 +241,7 @@ def _cut(text: str | None, model: BoundaryModel, side) -> list[Side]:
     return out
 
 
-def train(records: DataFrame, zh: str, en: str, model: BoundaryModel, max_pairs: int = 150_000, least: int = 3) -> Lexicon:
+def train(records: DataFrame, zh: str, en: str, model: BoundaryModel, least: int = 3) -> Lexicon:
     """Lexicon and length statistics from the one-to-one beads that lengths alone give, over all records."""
     shared = records.sparkSession.sparkContext.broadcast(model)
     base = Lexicon()
@@ -262,8 +265,6 @@ def train(records: DataFrame, zh: str, en: str, model: BoundaryModel, max_pairs:
                         # numbers and codes that contradict each other show a wrong bead
                         if (a.anchors or b.anchors) and not a.anchors & b.anchors:
                             continue
-                        if a.size > 400 or b.size > 1200:
-                            continue
                         seen["", ""] += 1
                         seen["#z", ""] += a.size
                         seen["#e", ""] += b.size
@@ -274,6 +275,8 @@ def train(records: DataFrame, zh: str, en: str, model: BoundaryModel, max_pairs:
                         for u in a.units:
                             for w in b.units:
                                 seen[u, w] += 1
+                            if len(seen) > 300_000:  # here, as long sentences have many pairs
+                                yield flush()
                 if len(seen) > 300_000:
                     yield flush()
         yield flush()
@@ -281,7 +284,7 @@ def train(records: DataFrame, zh: str, en: str, model: BoundaryModel, max_pairs:
     rows = records.select(F.col(zh).alias("z"), F.col(en).alias("e")).where("trim(z) <> '' and trim(e) <> ''")
     counts = rows.mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     kept = counts.persist()
-    alone = kept.where("a = '' or b = ''").orderBy(F.desc("n"), "a", "b").limit(max_pairs).toPandas()
+    alone = kept.where("a = '' or b = ''").toPandas()
     sizes = {(r.a, r.b): r.n for r in alone.itertuples(index=False)}
     total = sizes.get(("", ""), 0)
     # chance is already excluded here, so that only associated pairs reach the driver
@@ -290,7 +293,11 @@ def train(records: DataFrame, zh: str, en: str, model: BoundaryModel, max_pairs:
     eb = kept.where("a = '' and b <> ''").select("b", F.col("n").alias("nb"))
     strong = both.join(za, "a").join(eb, "b").withColumn("dice", 2 * F.col("n") / (F.col("na") + F.col("nb"))).withColumn("most", F.col("n") / F.least("na", "nb"))
     strong = strong.where(F.col("n") * float(max(total, 1)) > 3.0 * F.col("na") * F.col("nb")).where("dice >= 0.08 or most >= 0.5")
-    table = strong.select("a", "b", "n", "na", "nb", "dice").orderBy(F.desc("dice"), "a", "b").limit(max_pairs).toPandas()
+    strong = strong.select("a", "b", "dice").persist()
+    tops = [strong.groupBy(k).agg(F.max("dice").alias(f"top_{k}")) for k in "ab"]
+    # a partner far below the best one is of no use, so only the others of either unit are collected
+    table = strong.join(tops[0], "a").join(tops[1], "b").where(F.col("dice") >= NEAR * F.least("top_a", "top_b")).toPandas()
+    strong.unpersist()
     kept.unpersist()
     lex = Lexicon()
     if total:
@@ -298,16 +305,13 @@ def train(records: DataFrame, zh: str, en: str, model: BoundaryModel, max_pairs:
     for (a, b), n in sizes.items():
         if (a or b) and not a.startswith("#"):
             lex.weight[a or b] = max(0.3, math.log((total + 1) / n))
-    of_en, of_zh = defaultdict(list), defaultdict(list)
+    of_en, of_zh = defaultdict(dict), defaultdict(dict)
     for r in table.itertuples(index=False):
-        of_en[r.b].append((r.dice, r.a))
-        of_zh[r.a].append((r.dice, r.b))
-    for src, dst in ((of_en, lex.of_en), (of_zh, lex.of_zh)):
-        for u, found in src.items():
-            found.sort(key=lambda f: (-f[0], f[1]))
-            top = found[0][0]
-            # a unit whose best partner is a weak one gives little credit at all
-            dst[u] = {v: p / top * min(1.0, 2 * top) for p, v in found[:16] if p >= 0.3 * top}
+        # a unit whose best partner is a weak one gives little credit at all
+        for dst, u, v, top in ((of_en, r.b, r.a, r.top_b), (of_zh, r.a, r.b, r.top_a)):
+            if r.dice >= NEAR * top:
+                dst[u][v] = r.dice / top * min(1.0, 2 * top)
+    lex.of_en, lex.of_zh = dict(of_en), dict(of_zh)
     return lex
 
 

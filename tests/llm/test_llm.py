@@ -194,6 +194,15 @@ def test_alignment(spark):
     assert align.aligned(df.limit(0), "row_id", "zh_text", "en_text", m, lex).count() == 0
 
 
+def test_lexicon_keeps_long_sentences_and_all_partners(spark):
+    zh = "".join(chr(0x5000 + i) for i in range(450))
+    words = ["".join(c) for c in itertools.islice(itertools.product("bcdfghjklm", repeat=3), 400)]
+    df = spark.createDataFrame([(zh + "。", " ".join(words) + ".")] * 3 + [("甲乙丙丁。", "Nothing at all.")] * 12, "zh_text string, en_text string")
+    lex = align.train(df, "zh_text", "en_text", sentences.train(df.select(F.explode(F.array("zh_text", "en_text")).alias("text")), "text"))
+    assert all(set(lex.of_zh[zh[i : i + 2]]) == set(words) for i in range(449))
+    assert all(len(lex.of_en[w]) == 449 for w in words)
+
+
 def test_beads_find_the_cheapest_path():
     rnd = random.Random(1)
     for _ in range(30):
