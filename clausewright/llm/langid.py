@@ -74,10 +74,22 @@ def word_features(word: str) -> np.ndarray:
     return np.fromiter({zlib.crc32(g.encode()) & ((1 << _BITS) - 1) for g in grams}, np.int64)
 
 
-def features(sentence: str) -> np.ndarray:
-    """Features of all words of a sentence, each once."""
-    found = [word_features(w) for w in words_of(sentence)]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+def features(sentence: str, kept: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Features of all words of a sentence, each once; words recur, so theirs are kept."""
+    kept = {} if kept is None else kept
+    found = []
+    for word in words_of(sentence):
+        x = kept.get(word)
+        if x is None:
+            if len(kept) >= 100_000:
+                kept.clear()
+            x = kept[word] = word_features(word)
+        found.append(x)
+    if not found:
+        return np.empty(0, np.int64)
+    x = np.concatenate(found)
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
 def _svm(xs: list[np.ndarray], ys: np.ndarray, epochs: int = 6, c: float = 1e-4) -> np.ndarray:
@@ -107,7 +119,7 @@ class LanguageModel:
 
     members: dict[str, list[str]] = field(default_factory=dict)
     machines: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
-    kept: dict[tuple[str, str], tuple[np.ndarray, int]] = field(default_factory=dict)
+    kept: dict[str, np.ndarray] = field(default_factory=dict)
 
     def scores(self, sentence: str) -> dict[str, float] | None:
         """Probability of each language of the sentence's family; None without letters."""
@@ -120,21 +132,11 @@ class LanguageModel:
         if len(langs) == 1:
             return {langs[0]: share}
         pairs = [q for q in combinations(langs, 2) if q in self.machines]
-        sums, n = np.zeros(len(pairs)), 0
-        for word in words_of(sentence):
-            # words recur, so their share in each machine is kept
-            known = self.kept.get((kin, word))
-            if known is None:
-                x = word_features(word)
-                known = (np.array([self.machines[q][x].sum() for q in pairs]), len(x))
-                if len(self.kept) >= 200_000:
-                    self.kept.clear()
-                self.kept[kin, word] = known
-            sums += known[0]
-            n += known[1]
+        x = features(sentence, self.kept)
         logp = dict.fromkeys(langs, 0.0)
-        for (a, b), value in zip(pairs, sums):
-            z = max(-20.0, min(20.0, 3 * (value / math.sqrt(n or 1) + self.machines[a, b][-1])))
+        for a, b in pairs:
+            w = self.machines[a, b]
+            z = max(-20.0, min(20.0, 3 * (float(w[x].sum()) / math.sqrt(len(x) or 1) + w[-1])))
             logp[a] -= math.log1p(math.exp(-z))
             logp[b] -= math.log1p(math.exp(z))
         top = max(logp.values())
@@ -180,7 +182,7 @@ class LanguageModel:
         return [(a, b, lang, round(float(np.mean(p)) if p else 0.5, 4)) for a, b, lang, p in out]
 
     @classmethod
-    def fit(cls, labelled: list[tuple[str, str]], per_pair: int = 20_000) -> LanguageModel:
+    def fit(cls, labelled: list[tuple[str, str]]) -> LanguageModel:
         """From (label, sentence); sentences of a foreign family, then those that contradict a first fit, are dropped."""
         total = Counter(label for label, _ in labelled)
         votes_of: dict[str, Counter] = {}
@@ -205,14 +207,13 @@ class LanguageModel:
             if fam:
                 model.members.setdefault(fam, []).append(label)
         rows = {label: [s for (q, _), s in seen.items() if q == label and kin[s] == home[label]] for label in home}
-        cache = {s: features(s) for v in rows.values() for s in v}
+        cache = {s: features(s, model.kept) for v in rows.values() for s in v}
         for last in (False, True):
             for langs in model.members.values():
                 for a, b in combinations(langs, 2):
-                    xs = [cache[s] for q in (a, b) for s in rows[q][:per_pair]]
-                    ys = np.array([y for q, y in ((a, 1.0), (b, -1.0)) for _ in rows[q][:per_pair]])
+                    xs = [cache[s] for q in (a, b) for s in rows[q]]
+                    ys = np.array([y for q, y in ((a, 1.0), (b, -1.0)) for _ in rows[q]])
                     model.machines[a, b] = _svm(xs, ys)
-            model.kept.clear()
             if not last:
                 for label in rows:
                     rows[label] = [s for s in rows[label] if (p := model.scores(s)) and max(p, key=lambda k: p[k]) == label]

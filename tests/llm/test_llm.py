@@ -310,6 +310,23 @@ SAMPLES = {
 }
 
 
+def test_language_scores_are_those_of_the_fitted_machines():
+    w = np.random.default_rng(3).normal(size=(1 << 15) + 1) / 9
+    model = langid.LanguageModel({"latin": ["de", "en"]}, {("de", "en"): w})
+    for s in ("making taking baking", "the other brother", "ein kleines eigenes"):
+        x = langid.features(s)
+        z = 3 * (w[x].sum() / len(x) ** 0.5 + w[-1])
+        assert model.scores(s)["de"] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_language_machines_see_all_sentences(monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "_svm", lambda xs, ys: seen.append(len(xs)) or np.zeros((1 << 15) + 1))
+    names = ["".join(c) for c in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 40_100)]
+    langid.LanguageModel.fit([("de" if i % 2 else "en", n) for i, n in enumerate(names)])
+    assert seen[0] == 40_100
+
+
 def test_languages(spark):
     rnd, rows = random.Random(9), []
     for i in range(360):
