@@ -9,6 +9,8 @@ each field. Quoted and bracketed spans are atomic.
 Fields without an open delimiter feed the value frequencies directly; only the
 candidate segments of the others are joined with the frequency table, so
 nothing of the column is collected but one probability per delimiter kind.
+A segment may be as long as its field. One that no other field holds weighs the
+same as an unseen one, so only shared ones are carried through the rounds.
 
 Defined results: null, '' and blank fields have no value; empty values between
 delimiters don't count; text with ideographs is one value; quotes around a
@@ -34,7 +36,6 @@ _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _WIDE = "".join(chr(c + 0xFEE0) for c in range(33, 127))
 _DRESSED = "АВЕЅІЈКМНОРСТУХаеіјорсухѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧο" + _WIDE
 _UNDRESSED = "ABESIJKMHOPCTYXaeijopcyxsABEZHIKMNOPTYXo" + "".join(map(chr, range(33, 127)))
-MOST_INSIDE = 3  # open delimiters that one value may hold
 
 
 def _atoms(text: str) -> list[bool]:
@@ -145,29 +146,97 @@ def key(value: str) -> str:
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["k", "a", "b", "value", "pieces"]
     for pdf in batches:
         rows = []
         for k, raw in zip(pdf["k"], pdf["t"]):
-            pieces, kinds = lattice(raw)
-            rows += [(k, i, j, key(" ".join(pieces[i:j])), len(pieces)) for i in range(len(pieces)) for j in range(i + 1, min(len(pieces), i + 1 + MOST_INSIDE) + 1)]
-        yield pd.DataFrame(rows, columns=["k", "a", "b", "value", "pieces"])
+            keys = [key(p) for p in lattice(raw)[0]]
+            for i in range(len(keys)):
+                value = ""
+                for j in range(i + 1, len(keys) + 1):
+                    value = f"{value} {keys[j - 1]}" if value else keys[j - 1]
+                    rows.append((k, i, j, value, len(keys)))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
 
-def _gains(pieces: list[str], kinds: list[str], seen: dict[tuple[int, int], float], prior: dict[str, float], total: float) -> dict[tuple[int, int], float]:
-    """Weight of each segment of a lattice.
+def _add(a: float, b: float) -> float:
+    """Logarithm of the sum of two numbers given by theirs."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+class Cuts:
+    """Logarithmic weights of the cuts of one field.
 
     An unseen value is as likely as its pieces one by one, so that without
     evidence only the delimiters decide; a field's own share in a count (at
-    most one) is taken off, so that no field confirms itself.
+    most one) is taken off, so that no field confirms itself. Unseen values of
+    all lengths are summed piece by piece, seen ones one by one.
     """
-    n, unseen, gain = len(pieces), 0.1 / total, {}
-    for i in range(n):
-        for j in range(i + 1, min(n, i + 1 + MOST_INSIDE) + 1):
-            p = max(seen.get((i, j), 0.0) - 1, 0.0) / total + unseen ** (j - i)
-            for k in kinds[i : j - 1]:
-                p *= 1 - prior.get(k, 0.7)
-            gain[i, j] = p * (prior.get(kinds[j - 1], 0.7) if j < n else 1.0)
-    return gain
+
+    def __init__(self, kinds: list[str], seen: dict[tuple[int, int], float], prior: dict[str, float], total: float):
+        self.n, self.unseen, self.total, self.seen = len(kinds) + 1, math.log(0.1 / total), total, seen
+        self.on = [math.log(1 - prior.get(k, 0.7)) for k in kinds]
+        self.off = [-math.inf, *(math.log(prior.get(k, 0.7)) for k in kinds), 0.0]  # by the place after the value
+        self.inner = [0.0]
+        for v in self.on:
+            self.inner.append(self.inner[-1] + v)
+        self.into: list[list[tuple[int, float]]] = [[] for _ in range(self.n + 1)]
+        for (i, j), p in sorted(seen.items()):
+            if p > 1:
+                self.into[j].append((i, math.log((p - 1) / total) + self.inner[j - 1] - self.inner[i] + self.off[j]))
+
+    def weight(self, i: int, j: int) -> float:
+        """Weight of one value, seen or not."""
+        known = max(self.seen.get((i, j), 0.0) - 1, 0.0) / self.total
+        alone = (j - i) * self.unseen
+        return (_add(math.log(known), alone) if known else alone) + self.inner[j - 1] - self.inner[i] + self.off[j]
+
+    def shares(self) -> tuple[dict[tuple[int, int], float], list[float]]:
+        """Probability of each listed value and of a cut at each place."""
+        n, inf = self.n, -math.inf
+        fwd, open_ = [0.0] + [inf] * n, inf
+        for j in range(1, n + 1):
+            open_ = self.unseen + _add(fwd[j - 1], open_ + self.on[j - 2] if j > 1 else inf)
+            fwd[j] = open_ + self.off[j]
+            for i, v in self.into[j]:
+                fwd[j] = _add(fwd[j], fwd[i] + v)
+        bwd, open_ = [inf] * n + [0.0], 0.0  # here open_ is for a value that goes on or ends after piece j - 1
+        for j in range(n, 0, -1):
+            open_ = _add(self.off[j] + bwd[j], self.on[j - 1] + self.unseen + open_ if j < n else inf)
+            for i, v in self.into[j]:
+                bwd[i] = _add(bwd[i], v + bwd[j])
+            bwd[j - 1] = _add(bwd[j - 1], self.unseen + open_)
+        z = fwd[n]
+        return {(i, j): math.exp(fwd[i] + self.weight(i, j) + bwd[j] - z) for i, j in self.seen}, [math.exp(f + b - z) for f, b in zip(fwd, bwd)]
+
+    def best(self) -> list[tuple[int, int]]:
+        """The likeliest values of the field; of equals the shorter ones."""
+        n = self.n
+        top, came = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        open_, since = -math.inf, 0
+        listed: list[list[int]] = [[] for _ in range(n + 1)]
+        for i, j in sorted(self.seen):
+            listed[j].append(i)
+        for j in range(1, n + 1):
+            go = open_ + self.on[j - 2] if j > 1 else -math.inf
+            if top[j - 1] >= go - 1e-9:
+                go, since = top[j - 1], j - 1
+            open_ = self.unseen + go
+            top[j], came[j] = open_ + self.off[j], since
+            for i in listed[j]:
+                v = top[i] + self.weight(i, j)
+                if v > top[j] + 1e-9 or v >= top[j] - 1e-9 and i > came[j]:
+                    top[j], came[j] = v, i
+        cuts, j = [], n
+        while j:
+            cuts.append((came[j], j))
+            j = came[j]
+        return cuts[::-1]
 
 
 def separated(fields: DataFrame, key_col: str, column: str, rounds: int = 3) -> DataFrame:
@@ -180,12 +249,14 @@ def separated(fields: DataFrame, key_col: str, column: str, rounds: int = 3) ->
     cand = distinct.mapInPandas(_segments, "k long, a int, b int, value string, pieces int").persist()
     learn = cand.join(lesson, "k", "left_semi")
     single = learn.where("pieces = 1").groupBy("value").agg(F.count("*").cast("double").alias("n")).persist()
-    multi = cand.where("pieces > 1")
+    shared = learn.groupBy("value").agg(F.count("*").alias("fields")).where("fields > 1")
+    # each field keeps its first piece, so that it stays though it shares nothing
+    multi = cand.where("pieces > 1").join(shared, "value", "left").where("fields is not null or a = 0 and b = 1").select("k", "a", "b", "value").persist()
     total = float(max(1, lesson.count()))
     prior: dict[str, float] = {}
     counts = single
     for step in range(rounds + 1):
-        weighed = multi.join(counts, "value", "left").groupBy("k").agg(F.collect_list(F.struct("a", "b", F.coalesce("n", F.lit(0.0)).alias("p"))).alias("segs"))
+        weighed = multi.join(counts, "value", "left").groupBy("k").agg(F.collect_list(F.struct("a", "b", "value", F.coalesce("n", F.lit(0.0)).alias("p"))).alias("segs"))
         lattices = distinct.join(weighed, "k") if step == rounds else distinct.join(weighed, "k").join(lesson, "k", "left_semi")
         if step == rounds:
             break
@@ -194,23 +265,10 @@ def separated(fields: DataFrame, key_col: str, column: str, rounds: int = 3) ->
             for pdf in batches:
                 out = []
                 for t, segs in zip(pdf["t"], pdf["segs"]):
-                    pieces, kinds = lattice(t)
-                    n = len(pieces)
-                    gain = _gains(pieces, kinds, {(s["a"], s["b"]): s["p"] for s in segs}, prior, total)
-                    fwd, bwd = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-                    for j in range(1, n + 1):
-                        fwd[j] = sum(fwd[i] * gain[i, j] for i in range(max(0, j - 1 - MOST_INSIDE), j))
-                    for i in range(n - 1, -1, -1):
-                        bwd[i] = sum(gain[i, j] * bwd[j] for j in range(i + 1, min(n, i + 1 + MOST_INSIDE) + 1))
-                    z = fwd[n]
-                    if not z > 0:
-                        continue
-                    cut = [0.0] * (n + 1)
-                    for (i, j), g in gain.items():
-                        p = fwd[i] * g * bwd[j] / z
-                        if p > 1e-6:
-                            out.append((key(" ".join(pieces[i:j])), None, p))
-                            cut[j] += p
+                    kinds = lattice(t)[1]
+                    named = {(s["a"], s["b"]): s["value"] for s in segs}
+                    found, cut = Cuts(kinds, {(s["a"], s["b"]): s["p"] for s in segs}, prior, total).shares()
+                    out += [(named[ij], None, p) for ij, p in found.items() if p > 1e-6]
                     out += [(None, k, cut[j]) for j, k in enumerate(kinds, 1)]
                 yield pd.DataFrame(out, columns=["value", "kind", "p"])
 
@@ -224,19 +282,7 @@ def separated(fields: DataFrame, key_col: str, column: str, rounds: int = 3) ->
             out = []
             for t, segs in zip(pdf["t"], pdf["segs"]):
                 pieces, kinds = lattice(t)
-                n = len(pieces)
-                gain = _gains(pieces, kinds, {(s["a"], s["b"]): s["p"] for s in segs}, prior, total)
-                best, came = [0.0] + [-math.inf] * n, [0] * (n + 1)
-                for j in range(1, n + 1):
-                    for i in range(max(0, j - 1 - MOST_INSIDE), j):
-                        v = best[i] + math.log(max(gain[i, j], 1e-300))
-                        if v >= best[j] - 1e-9:  # of equals the shorter value
-                            best[j], came[j] = v, i
-                cuts, j = [], n
-                while j:
-                    cuts.append((came[j], j))
-                    j = came[j]
-                cuts.reverse()
+                cuts = Cuts(kinds, {(s["a"], s["b"]): s["p"] for s in segs}, prior, total).best()
                 out += [(t, pos, clean(", ".join(pieces[a:b])), len(cuts)) for pos, (a, b) in enumerate(cuts, 1)]
             yield pd.DataFrame(out, columns=["t", "value_pos", "value", "values"])
 

@@ -242,3 +242,47 @@ def test_packed_values(spark):
     assert 3 not in got and 4 not in got and len(got[8]) == 1
     assert all(len(got[100 + i]) == 2 for i in range(30))
     assert packed.separated(df.limit(0), "id", "v").count() == 0
+
+
+def test_packed_values_of_many_pieces(spark):
+    long = "valve, ball, brass, threaded, small"
+    rows = [f"{long}; {w} lamp; {w} fuse" for w in ("red", "blue", "green", "white", "black", "grey", "pink", "brown")] * 3
+    rows += [f"{w} lamp; {w} nut" for w in ("red", "blue", "green", "white", "black", "grey", "pink", "brown")] * 3
+    rows += ['"valve ball brass threaded small"', "valve ball brass threaded small"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, v string")
+    got = {}
+    for r in packed.separated(df, "id", "v").orderBy("id", "value_pos").collect():
+        got.setdefault(r.id, []).append(r.value)
+    assert got[0] == [long, "red lamp", "red fuse"]
+
+
+def test_packed_cuts_against_all_cuts():
+    rnd = random.Random(6)
+    for _ in range(60):
+        n = rnd.randrange(2, 7)
+        kinds = [rnd.choice([",s", ";s"]) for _ in range(n - 1)]
+        seen = {(i, j): rnd.choice([0.0, 0.5, 3.0, 40.0]) for i in range(n) for j in range(i + 1, n + 1) if rnd.random() < 0.6}
+        prior, total = {",s": 0.4}, 50.0
+        all_cuts = []
+        for mask in range(1 << (n - 1)):
+            ends = [j for j in range(1, n) if mask >> (j - 1) & 1] + [n]
+            cuts = list(zip([0, *ends], ends))
+            w = 1.0
+            for i, j in cuts:
+                w *= max(seen.get((i, j), 0.0) - 1, 0.0) / total + (0.1 / total) ** (j - i)
+            for k, kind in enumerate(kinds, 1):
+                w *= prior.get(kind, 0.7) if k in ends else 1 - prior.get(kind, 0.7)
+            all_cuts.append((w, cuts))
+        z = sum(w for w, _ in all_cuts)
+        field = packed.Cuts(kinds, seen, prior, total)
+        found, cut = field.shares()
+        for ij, p in found.items():
+            assert p == pytest.approx(sum(w for w, c in all_cuts if ij in c) / z)
+        for k in range(1, n):
+            assert cut[k] == pytest.approx(sum(w for w, c in all_cuts if any(j == k for _, j in c)) / z)
+        assert dict((tuple(c), w) for w, c in all_cuts)[tuple(field.best())] == pytest.approx(max(w for w, _ in all_cuts))
+
+
+def test_packed_fields_of_very_many_pieces_do_not_underflow():
+    cut = packed.Cuts([";s"] * 2000, {(0, 1): 0.0}, {}, 1e6).shares()[1]
+    assert all(c == pytest.approx(0.7) for c in cut[1:-1])
