@@ -40,7 +40,7 @@ _WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:'[a-z]+)?")
 _ANCHOR = re.compile(r"[A-ZÀ-Þ][A-Za-zÀ-ɏ]*-\d+|\d+(?:[.:]\d+)*")
 _LOOKS = str.maketrans(AS_LATIN)
 NEAR = 0.3  # least association of a partner in proportion to the best one
-BAND = 150  # half width of the alignment band in sentences
+BAND = 150  # half width in sentences of the band that is tried first
 
 
 @dataclass
@@ -132,11 +132,31 @@ class Lexicon:
 
 
 def beads(nz: int, ne: int, cost) -> list[tuple[int, int, int, int]]:
-    """Cheapest path: (i, j, di, dj) of each bead; cost(i, j, di, dj) is asked within a band around the diagonal."""
+    """Cheapest path: (i, j, di, dj) of each bead; cost(i, j, di, dj), never negative, is asked within a band around the diagonal.
+
+    The band is widened until no path that leaves it can be cheaper: one that
+    does strays at least ``band`` sentences and comes back, and pays for each.
+    """
+    stray = min(prior / abs(di - dj) for (di, dj), prior in BEADS.items() if di != dj)
+    band = BAND
+    while True:
+        best, whole = _in_band(nz, ne, cost, band + abs(nz - ne))
+        if whole or best[nz][ne][0] <= stray * (2 * band + abs(nz - ne)):
+            break
+        band *= 2
+    out, i, j = [], nz, ne
+    while i or j:
+        _, di, dj = best[i][j]
+        out.append((i - di, j - dj, di, dj))
+        i, j = i - di, j - dj
+    return out[::-1]
+
+
+def _in_band(nz: int, ne: int, cost, wide: int) -> tuple[list[dict[int, tuple[float, int, int]]], bool]:
+    """Cost and last bead of the cheapest way to each place within the band, and whether all places are."""
     inf = math.inf
     best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(nz + 1)]
     best[0][0] = (0.0, 0, 0)
-    wide = BAND + abs(nz - ne)
     for i in range(nz + 1):
         mid = i * ne // max(nz, 1)
         for j in range(max(0, mid - wide), min(ne, mid + wide) + 1):
@@ -148,12 +168,7 @@ def beads(nz: int, ne: int, cost) -> list[tuple[int, int, int, int]]:
                         now = (c, di, dj)
             if now[0] < inf:
                 best[i][j] = now
-    out, i, j = [], nz, ne
-    while i or j:
-        _, di, dj = best[i][j]
-        out.append((i - di, j - dj, di, dj))
-        i, j = i - di, j - dj
-    return out[::-1]
+    return best, wide >= ne
 
 
 def by_length(zh: list[Side], en: list[Side], lex: Lexicon) -> list[tuple[int, int, int, int]]:

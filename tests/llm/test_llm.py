@@ -219,6 +219,12 @@ def test_beads_find_the_cheapest_path():
         assert sum(align.BEADS[b[2:]] + cost(*b) for b in got) == pytest.approx(best(0, 0))
 
 
+def test_beads_far_from_the_diagonal():
+    # the first 200 sentences of one side and the last 200 of the other have no partner
+    got = align.beads(400, 400, lambda i, j, di, dj: 0.0 if not di or not dj or (di, dj) == (1, 1) and i == j + 200 else float("inf"))
+    assert [(i, j) for i, j, di, dj in got if di and dj] == [(k + 200, k) for k in range(200)]
+
+
 # --- 7 leaks
 
 
