@@ -169,7 +169,7 @@ def _covered(cands: pd.Series, words: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _parts(s: pd.Series) -> pd.Series:
-    """Substrings of 3 to 24 letters (and the words a, of, to ...) that a glued run may be made of."""
+    """Substrings of 2 to 24 letters that a glued run may be made of; longer and one-letter words are not tried."""
     return s.map(lambda c: sorted({c[i:j] for i in range(len(c)) for j in range(i + 2, min(len(c), i + 24) + 1)}))
 
 
