@@ -38,7 +38,7 @@ _RUN = re.compile(r"[^\W\d_]+")
 _FOLDED: dict[str, str] = {}
 
 
-def _fold_char(ch: str) -> str:
+def fold_char(ch: str) -> str:
     """The plain equivalent of one character; '' for one that doesn't show."""
     got = _FOLDED.get(ch)
     if got is None:
@@ -67,9 +67,9 @@ def fold(text: str | None) -> str | None:
     if not text or text.isascii() or not _SUSPECT.search(text):
         return text
     if any(c in text for c in _JOINERS) and any(_joins(c) for c in text):
-        out = "".join(c if c in _JOINERS and 0 < i < len(text) - 1 and _joins(text[i - 1]) and _joins(text[i + 1]) else _fold_char(c) for i, c in enumerate(text))
+        out = "".join(c if c in _JOINERS and 0 < i < len(text) - 1 and _joins(text[i - 1]) and _joins(text[i + 1]) else fold_char(c) for i, c in enumerate(text))
     else:
-        out = "".join(map(_fold_char, text))
+        out = "".join(map(fold_char, text))
     return unicodedata.normalize("NFC", out) if any(unicodedata.combining(c) for c in out) else out
 
 

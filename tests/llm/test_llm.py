@@ -140,6 +140,36 @@ def test_sentences(model):
     assert len(model.ends("字" * 50_000)) == 1
 
 
+def test_unpunctuated_texts(spark):
+    rnd = random.Random(7)
+    things = ["contact wire", "fuse", "clamp", "mast", "insulator", "dropper"]
+    acts = ["is checked every day", "weighs seven kilograms", "was replaced by the patroller", "must not be touched in rain", "stands near the gate"]
+    zh = [("接触线", "每天检查一次"), ("断路器", "由值班员上锁"), ("绝缘子", "不得在雨天更换"), ("吊弦", "断裂时先封锁线路"), ("支柱", "立在大门旁边"), ("线夹", "重约七千克")]
+
+    def en():
+        return f"The {rnd.choice(things)} {rnd.choice(acts)}"
+
+    def han():
+        return rnd.choice(zh)[0] + rnd.choice(zh)[1]
+
+    texts = [" ".join(en() + "." for _ in range(4)) for _ in range(300)] + ["".join(han() + "。" for _ in range(4)) for _ in range(300)]
+    m = sentences.train(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    good = total = 0
+    for _ in range(60):
+        for parts, glue in (([en() for _ in range(5)], " "), ([en().lower() for _ in range(5)], " "), ([han() for _ in range(5)], "")):
+            ends = set(itertools.accumulate(len(p) + (len(glue) if k else 0) for k, p in enumerate(parts)))
+            got = set(m.ends(glue.join(parts)))
+            good, total = good + len(got & ends), total + len(got | ends)
+    assert good / total > 0.95
+    # marked text keeps its sentences, and words inside a quotation have no gap
+    assert all(len(m.ends(t)) == 4 for t in texts)
+    assert len(m.ends("He reads “" + " ".join(en() for _ in range(4)) + "” aloud.")) == 1
+
+
+def test_start_of_a_text_after_many_blanks():
+    assert sentences.first_words(" " * 500 + "Hello world") == ("hello", "U", "l")
+
+
 def test_sentence_rows(spark, model):
     df = spark.createDataFrame([(1, "甲。乙。", 0), (2, None, 0), (3, "", 0), (1, "甲。乙。", 0)], "id long, text string, end_pos long")
     got = sentences.sentence_ends(df, ["id"], "text", model).collect()
