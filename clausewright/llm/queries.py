@@ -76,8 +76,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Sentences that render each other, with a score."""
     clauses = table(spark, d, "regulation_clause")
-    boundaries = sentences.train(_clause_fields(spark, d), "text")
-    return align.aligned(clauses, "row_id", "zh_text", "en_text", boundaries, align.train(clauses, "zh_text", "en_text", boundaries))
+    sides = align.prepared(clauses, "row_id", "zh_text", "en_text", sentences.train(_clause_fields(spark, d), "text"))
+    return align.aligned(sides, "row_id", align.train(sides))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -213,48 +213,82 @@ def test_alignment(spark):
     df = spark.createDataFrame([(*r, 9) for r in rows], "row_id long, zh_text string, en_text string, score long")
     both = df.select(F.explode(F.array("zh_text", "en_text")).alias("text"))
     m = sentences.train(both, "text")
-    lex = align.train(df, "zh_text", "en_text", m)
+    sides = align.prepared(df, "row_id", "zh_text", "en_text", m)
+    lex = align.train(sides)
     got = {}
-    for r in align.aligned(df, "row_id", "zh_text", "en_text", m, lex).collect():
+    for r in align.aligned(sides, "row_id", lex).collect():
         got.setdefault(r.row_id, set()).add((r.zh_sent, r.en_sent))
     for k, (_, _, want) in cases.items():
         assert got.get(k, set()) == want, k
     assert got[1005] == {(1, 1), (2, 1)} and not {1006, 1007, 1008} & set(got)
     assert np.mean([got.get(i) == {(1, 1), (2, 2), (3, 3)} for i in range(300)]) > 0.95
-    assert align.aligned(df.limit(0), "row_id", "zh_text", "en_text", m, lex).count() == 0
+    none = align.prepared(df.limit(0), "row_id", "zh_text", "en_text", m)
+    assert align.aligned(none, "row_id", align.train(none)).count() == 0
 
 
 def test_lexicon_keeps_long_sentences_and_all_partners(spark):
     zh = "".join(chr(0x5000 + i) for i in range(450))
     words = ["".join(c) for c in itertools.islice(itertools.product("bcdfghjklm", repeat=3), 400)]
     df = spark.createDataFrame([(zh + "。", " ".join(words) + ".")] * 3 + [("甲乙丙丁。", "Nothing at all.")] * 12, "zh_text string, en_text string")
-    lex = align.train(df, "zh_text", "en_text", sentences.train(df.select(F.explode(F.array("zh_text", "en_text")).alias("text")), "text"))
-    assert all(set(lex.of_zh[zh[i : i + 2]]) == set(words) for i in range(449))
-    assert all(len(lex.of_en[w]) == 449 for w in words)
+    df = df.withColumn("row_id", F.monotonically_increasing_id())
+    lex = align.train(align.prepared(df, "row_id", "zh_text", "en_text", sentences.train(df.select(F.explode(F.array("zh_text", "en_text")).alias("text")), "text")))
+    units = [np.array([align.unit_hash(u) for u in us], np.int64) for us in ([zh[i : i + 2] for i in range(449)], words, ["nothing"])]
+    of_zh, of_en = lex.credits(units[0], units[1])
+    assert of_zh.min() > 0.9 and of_en.min() > 0.9 and not lex.credits(units[0], units[2])[0].any()
 
 
 def test_beads_find_the_cheapest_path():
     rnd = random.Random(1)
     for _ in range(30):
         n, m = rnd.randrange(0, 5), rnd.randrange(0, 5)
-        table = {}
+        costs = {s: [[rnd.random() * 5 for _ in range(m)] for _ in range(n)] for s in align.BEADS if all(s)}
 
-        def cost(i, j, di, dj, table=table):
-            return table.setdefault((i, j, di, dj), rnd.random() * 5)
+        def cost(i, j, di, dj, costs=costs):
+            return costs[di, dj][i][j] if di and dj else 0.0
 
         def best(i, j):
             return 0.0 if i == n and j == m else min((p + cost(i, j, di, dj) + best(i + di, j + dj) for (di, dj), p in align.BEADS.items() if i + di <= n and j + dj <= m), default=float("inf"))
 
-        got = align.beads(n, m, cost)
+        got = align.beads(n, m, costs)
         assert sum(align.BEADS[b[2:]] + cost(*b) for b in got) == pytest.approx(best(0, 0))
 
 
 def test_beads_far_from_the_diagonal():
     # the first 200 sentences of one side and the last 200 of the other have no partner
-    got = align.beads(400, 400, lambda i, j, di, dj: 0.0 if not di or not dj or (di, dj) == (1, 1) and i == j + 200 else float("inf"))
+    got = align.beads(400, 400, {(1, 1): [[0.0 if i == j + 200 else float("inf") for j in range(400)] for i in range(400)]})
     assert [(i, j) for i, j, di, dj in got if di and dj] == [(k + 200, k) for k in range(200)]
 
 
+def test_band_widens_until_it_is_exact():
+    rnd = random.Random(3)
+    for n, m in ((40, 40), (30, 55), (60, 31)):
+        costs = {(1, 1): [[rnd.random() * (0.1 if abs(i - j) < 25 else 9) + (12 if i < 20 and abs(i - j) < 12 else 0) for j in range(m)] for i in range(n)]}
+        got, full = align.beads(n, m, costs), align._in_band(n, m, costs, n + m)[0]
+        assert sum(align.BEADS[b[2:]] + (costs[1, 1][b[0]][b[1]] if b[2] and b[3] else 0) for b in got) == pytest.approx(full)
+
+
+def brute_coverage(a, b, credit, weight):
+    """Share of the units of each sentence of a that each of b renders, unit by unit."""
+    return [[sum(weight(u) * max((credit(u, v) for v in y), default=0) for u in x) / (sum(weight(u) for u in x) or 1) for y in b] for x in a]
+
+
+def test_coverage_against_brute_force():
+    rnd = np.random.default_rng(5)
+    zh_units, en_units = rnd.integers(1, 2**62, 30), rnd.integers(1, 2**62, 25)
+    lex = align.Lexicon()
+    known = {(int(u), int(v)): int(rnd.integers(1, 256)) for u in zh_units for v in en_units if rnd.random() < 0.1}
+    a, b = (np.array(x, np.int64) for x in zip(*known))
+    slots = np.concatenate(align._pair_slots(a, b, align.PAIR_BITS))
+    values = np.array([*known.values()] * 2, np.uint8)
+    lex.of_zh = lex.of_en = (slots, values)
+    for _ in range(20):
+        z = [[int(u) for u in rnd.choice(zh_units, rnd.integers(0, 6), replace=False)] for _ in range(rnd.integers(1, 7))]
+        e = [[int(v) for v in rnd.choice(en_units, rnd.integers(0, 6), replace=False)] for _ in range(rnd.integers(1, 7))]
+        cz, ce = align.coverage(align.Side([9] * len(z), z, [{}] * len(z)), align.Side([9] * len(e), e, [{}] * len(e)), lex)
+        assert np.allclose(cz, brute_coverage(z, e, lambda u, v: known.get((u, v), 0) / 255, lambda u: 2.0), atol=1e-4)
+        assert np.allclose(ce.T, brute_coverage(e, z, lambda v, u: known.get((u, v), 0) / 255, lambda u: 2.0), atol=1e-4)
+
+
 # --- 7 leaks
 
 
