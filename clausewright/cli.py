@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as X
 from clausewright.operators import index, rank, retrieve, segment
+from clausewright.plans.lineage import cut
 from clausewright.plans.ship import importable
 from clausewright.sources import docx, sinks
 
@@ -29,21 +30,34 @@ def build(spark: SparkSession, settings: sinks.Settings) -> DataFrame:
     if records.isEmpty():
         raise ValueError("the documents hold no clause and no term")
     sinks.write_json_lines(records, settings.paths["unified_jsonl"], [KEY])
-    postings, idf = index.build(records, KEY, "retrieval_text", ["record_type"])
+    postings, idf = index.build(records, KEY, "retrieval_text", ["record_type"], settings.vectorizer)
     index.save(postings, idf, records, settings.paths["vector_index"])
     return records.groupBy("record_type").agg(F.count(F.lit(1)).alias("records"))
 
 
 def ask(spark: SparkSession, settings: sinks.Settings, questions: DataFrame, top: int | None = None) -> DataFrame:
-    """(query_id, query, query_type, risk_level, markers, answer, citations) of questions (query_id, query)."""
+    """(query_id, query, query_type, risk_level, matched_risk_markers, answer, citations, terminology_hits, regulation_hits) of questions (query_id, query).
+
+    The two lists hold the record ids of the first five hits of either channel.
+    Hits of questions about a term or its translation keep their order, all
+    others are reranked.
+    """
     postings, idf, records = index.load(spark, settings.paths["vector_index"])
     terms = records.where("record_type = 'glossary_term'")
-    channels = retrieve.dual_channel(questions, terms, postings, idf, KEY, top or settings.top)
+    channels = cut(retrieve.dual_channel(questions, terms, postings, idf, KEY, top or settings.top, how=settings.vectorizer))
     hits = retrieve.chosen_channel(questions, channels).join(questions, "query_id").join(records.drop("knowledge_channel"), KEY)
-    answers = rank.composed(rank.reranked(hits))
-    q = F.col("query")
+    kept = F.col("query_type").isin("term", "bilingual")
+    answers = rank.composed(rank.reranked(hits.where(~kept)).select(*hits.columns).unionByName(hits.where(kept)))
+
+    def first(channel: str) -> Column:
+        mine = F.when((F.col("channel") == channel) & (F.col("rank") <= 5), F.struct("rank", KEY))
+        return F.transform(F.array_sort(F.collect_list(mine)), lambda h: h[KEY]).alias(f"{channel}_hits")
+
+    listed = channels.groupBy("query_id").agg(first("terminology"), first("regulation"))
+    q, none = F.col("query"), F.array().cast("array<string>")
     tagged = questions.withColumns({"query_type": X.query_class(q), "risk_level": X.query_risk(q), "matched_risk_markers": X.risk_markers(q)})
-    return tagged.join(answers, "query_id", "left")
+    done = tagged.join(answers, "query_id", "left").join(listed, "query_id", "left")
+    return done.withColumns({c: F.coalesce(c, none) for c in ("terminology_hits", "regulation_hits")})
 
 
 def main(argv: list[str] | None = None) -> None:

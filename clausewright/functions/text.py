@@ -63,6 +63,9 @@ HEADINGS = [
     ("appendix_en", "(?i)^(attachment|appendix)" + WS + r"*\d+"),
 ]
 NOISE = r"^[,.'`“”‘’．。()\-I \t\n\r]+$"
+# A Chinese term and the English one after it in a line; a short form in round brackets.
+TERM_PAIR = r"([\x{3400}-\x{9fff}][\x{3400}-\x{9fff}A-Za-z0-9（）()/\-、，,．. ]*?){ws}+([A-Za-z(][A-Za-z0-9 /;,\-().:+]*?)(?={ws}+[\x{3400}-\x{9fff}]|$)".replace("{ws}", WS)
+SHORT_FORM = r"\(([^()]{2,16})\)"
 
 
 def normalize(x: Column) -> Column:
@@ -169,20 +172,17 @@ def keywords(*parts: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.flatten(F.array(*found))), 1, most)
 
 
-_SHORT = r"\(([^()]{2,16})\)"
-
-
 def abbreviation(term: Column) -> Column:
     """What stands in the first round brackets, else the initials of two or more words, else ''."""
     words = F.regexp_extract_all(term, F.lit("[A-Za-z]+"), F.lit(0))
     initials = F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
-    return F.when(term.rlike(_SHORT), trim_ws(F.regexp_extract(term, _SHORT, 1))).when(F.size(words) >= 2, initials).otherwise("")
+    return F.when(term.rlike(SHORT_FORM), trim_ws(F.regexp_extract(term, SHORT_FORM, 1))).when(F.size(words) >= 2, initials).otherwise("")
 
 
 def full_form(term: Column) -> Column:
     """The term before its first short bracket, normalised."""
     before = F.regexp_extract(term, r"(?s)^(.*?)\([^()]{2,16}\)", 1)
-    return normalize(F.when(term.rlike(_SHORT), before).otherwise(term))
+    return normalize(F.when(term.rlike(SHORT_FORM), before).otherwise(term))
 
 
 def distinct_filled(*parts: Column) -> Column:
@@ -207,9 +207,7 @@ def anchor_key(x: Column) -> Column:
 
 def term_pairs(line: Column) -> Column:
     """Array of (term_zh, term_en) found in a line, in order."""
-    body = r"([\x{3400}-\x{9fff}][\x{3400}-\x{9fff}A-Za-z0-9（）()/\-、，,．. ]*?)" + WS + "+"
-    tail = r"([A-Za-z(][A-Za-z0-9 /;,\-().:+]*?)(?=" + WS + r"+[\x{3400}-\x{9fff}]|$)"
-    zh, en = (F.regexp_extract_all(line, F.lit(body + tail), F.lit(g)) for g in (1, 2))
+    zh, en = (F.regexp_extract_all(line, F.lit(TERM_PAIR), F.lit(g)) for g in (1, 2))
     pairs = F.transform(F.arrays_zip(zh.alias("a"), en.alias("b")), lambda p: F.struct(normalize(p["a"]).alias("term_zh"), normalize(p["b"]).alias("term_en")))
     return F.filter(pairs, lambda p: (F.length(compact(p["term_zh"])) >= 2) & has_english(p["term_en"]))
 

@@ -89,13 +89,13 @@ def trace(channel: Column, kind: Column, risk: Column, priority: Column) -> Colu
 def composed(hits: DataFrame, query_id: str = "query_id", most: int = 3) -> DataFrame:
     """(query_id, answer, citations): the distinct best snippets of each question's first hits, in its own language where there is text in it.
 
-    A question about a term whose first hit is a term gets both its names instead.
+    A question about a term or its translation is answered by its first hit alone, in both languages.
     """
     zh, en = F.coalesce("zh_text", F.lit("")), F.coalesce("en_text", F.lit(""))
     chinese = X.has_cjk(F.col("query"))
     body = F.when(chinese, F.when(zh != "", zh).otherwise(en)).otherwise(F.when(en != "", en).otherwise(zh))
-    term = (F.col("record_type") == "glossary_term") & (X.query_class(F.col("query")) == "term") & (F.col("rank") == 1)
-    pair = F.concat_ws(" / ", F.expr("nullif(term_zh, '')"), F.expr("nullif(term_en, '')"))
+    term = X.query_class(F.col("query")).isin("term", "bilingual") & (F.col("rank") == 1)
+    pair = F.concat_ws(" / ", *[F.coalesce(F.expr(f"nullif({a}, '')"), F.expr(f"nullif({b}, '')")) for a, b in (("term_zh", "zh_text"), ("term_en", "en_text"))])
     rows = hits.where(F.col("rank") <= most).withColumn("_s", F.when(term, pair).otherwise(best_snippet(F.col("query"), body))).withColumn("_t", term)
     item = F.struct(F.col("rank").cast("int").alias("index"), "record_id", "source_label", F.col("score").cast("double").alias("score"))
     grouped = rows.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", "_s", "_t"))).alias("s"), F.array_sort(F.collect_list(item)).alias("c"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import text as X
 from clausewright.operators import index
+from clausewright.plans.lineage import cut
 
 GENERAL = X.CATEGORIES[0][0]
 
@@ -26,37 +27,41 @@ def candidates(queries: DataFrame, query_id: str = "query_id", query: str = "que
     return queries.select(query_id, F.explode(X.term_candidates(F.col(query))).alias("candidate")).select(query_id, F.lower("candidate").alias("candidate")).where("candidate <> ''")
 
 
-def _parts(x: Column) -> Column:
-    """All substrings of a candidate, each once; candidates are short."""
+HEAD = 4  # characters by which a text inside another one is looked up
+
+
+def _inner(x: Column) -> Column:
+    """Distinct substrings of 1 to :data:`HEAD` characters."""
 
     def every(c: Column) -> Column:
-        n = F.size(c)
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), n - i), lambda k: F.array_join(F.slice(c, i + 1, k), ""))))
+        starts = F.sequence(F.lit(0), F.size(c) - 1)
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size(c) - i)), lambda k: F.array_join(F.slice(c, i + 1, k), ""))))
 
     return F.array_distinct(X.let(X.characters(x), every))
 
 
-def _heads(x: Column) -> Column:
-    """Distinct characters and character pairs of a name, by which candidates inside it are looked up."""
-    return F.array_distinct(X.let(X.characters(x), lambda c: F.concat(c, X.bigrams(c))))
+def _head(x: Column) -> Column:
+    """The first :data:`HEAD` characters, by which a text is looked up in another one."""
+    return F.substring(x, 1, HEAD)
 
 
 def dictionary_matches(queries: DataFrame, terms: DataFrame, key: str, query_id: str = "query_id") -> DataFrame:
     """(query_id, key, exact, contained, score): terms one of whose names equals, holds or lies in a candidate.
 
-    Names inside a candidate are found by an equi-join on the candidate's
-    substrings, candidates inside a name by one on their first two characters
-    and a check; no pair of all is formed.
+    A text inside another one is found by an equi-join of its first characters
+    with all short substrings of the other, and a check; no pair of all is
+    formed, and what is joined grows with the length of a text only.
     """
     cand = candidates(queries, query_id)
     listed = names(terms, key)
     alias = listed.select(key, F.explode("alias_list").alias("alias")).select(key, F.lower("alias").alias("alias"))
     # equal names of many terms are looked up once
     distinct = alias.select("alias").distinct()
-    each = cand.select("candidate").distinct()
-    inside = distinct.join(index.beside(each.select("candidate", F.explode(_parts(F.col("candidate"))).alias("alias")), queries), "alias")
-    heads = each.select("candidate", F.when(F.length("candidate") == 1, F.col("candidate")).otherwise(F.substring("candidate", 1, 2)).alias("head"))
-    around = distinct.select("alias", F.explode(_heads(F.col("alias"))).alias("head")).join(index.beside(heads, queries), "head").where(F.col("alias").contains(F.col("candidate")))
+    each = cut(cand.select("candidate").distinct())
+    parts = index.beside(each.select("candidate", F.explode(_inner(F.col("candidate"))).alias("head")), each, F.length("candidate") * HEAD * (F.length("candidate") * 4 + 60))
+    inside = distinct.withColumn("head", _head(F.col("alias"))).join(parts, "head").where(F.col("candidate").contains(F.col("alias")))
+    heads = index.beside(each.select("candidate", _head(F.col("candidate")).alias("head")), each, F.length("candidate") * 4 + 60)
+    around = distinct.select("alias", F.explode(_inner(F.col("alias"))).alias("head")).join(heads, "head").where(F.col("alias").contains(F.col("candidate")))
     pairs = inside.select("candidate", "alias").union(around.select("candidate", "alias")).distinct()
     hits = alias.join(pairs, "alias").join(cand, "candidate")
     counted = hits.groupBy(query_id, key).agg(F.sum((F.col("candidate") == F.col("alias")).cast("int")).alias("exact"), F.count(F.lit(1)).alias("contained"))
@@ -72,13 +77,14 @@ def dictionary_matches(queries: DataFrame, terms: DataFrame, key: str, query_id:
     return scored.select(query_id, key, "exact", "contained", F.round(score, 6).alias("score"))
 
 
-def dictionary_search(queries: DataFrame, terms: DataFrame, key: str, postings: DataFrame | None = None, idf: DataFrame | None = None, top: int = 8, query_id: str = "query_id") -> DataFrame:
+def dictionary_search(queries: DataFrame, terms: DataFrame, key: str, postings: DataFrame | None = None, idf: DataFrame | None = None, top: int = 8, query_id: str = "query_id", how: index.Vectorizer = index.PLAIN) -> DataFrame:
     """(query_id, key, score, rank): best dictionary matches, ties by key; questions without one search the index."""
-    found = index.top_hits(dictionary_matches(queries, terms, key, query_id), [query_id], [F.desc("score"), F.asc(key)], top).select(query_id, key, "score", "rank").persist()
+    found = index.top_hits(dictionary_matches(queries, terms, key, query_id), [query_id], [F.desc("score"), F.asc(key)], top).select(query_id, key, "score", "rank")
     if postings is None:
         return found
+    found = cut(found)
     rest = queries.join(found.select(query_id).distinct(), query_id, "left_anti")
-    more = index.search(rest, postings, idf, key, query_id, top=top, types=["glossary_term"])
+    more = index.search(rest, postings, idf, key, query_id, top=top, types=["glossary_term"], how=how)
     return found.unionByName(more.select(query_id, key, F.round("score", 6).alias("score"), "rank"))
 
 
@@ -100,26 +106,37 @@ def expanded(queries: DataFrame, hits: DataFrame, terms: DataFrame, key: str, qu
     return joined.select(query_id, F.array_join(F.concat(F.array("_q"), folded["out"]), " ").alias(query))
 
 
-def regulation_search(queries: DataFrame, wide: DataFrame, postings: DataFrame, idf: DataFrame, key: str, top: int = 5, query_id: str = "query_id") -> DataFrame:
-    """(query_id, key, score, origin, rank): hits of the expanded questions, then those only the raw ones have.
+def regulation_search(queries: DataFrame, wide: DataFrame, postings: DataFrame, idf: DataFrame, key: str, top: int = 5, query_id: str = "query_id", how: index.Vectorizer = index.PLAIN) -> DataFrame:
+    """(query_id, key, score, origin, matched_query, rank): hits of the expanded questions, then those only the raw ones have.
 
     Each search takes the larger of 4 * top and 16; the union isn't cut back.
     """
     n, kind = max(top * 4, 16), ["regulation_clause"]
-    wide = wide.persist()
-    first = index.search(wide, postings, idf, key, query_id, top=n, types=kind).withColumn("origin", F.lit("expanded"))
-    raw = index.search(queries, postings, idf, key, query_id, top=n, types=kind).withColumn("origin", F.lit("raw"))
+    wide = cut(wide)
+    first = index.search(wide, postings, idf, key, query_id, top=n, types=kind, how=how).withColumn("origin", F.lit("expanded"))
+    raw = index.search(queries, postings, idf, key, query_id, top=n, types=kind, how=how).withColumn("origin", F.lit("raw"))
     new = raw.join(first.select(query_id, key), [query_id, key], "left_anti").withColumn("rank", F.col("rank") + n)
-    both = first.unionByName(new)
+    asked = wide.select(query_id, F.col("query").alias("_wide")).join(queries.select(query_id, F.col("query").alias("_raw")), query_id)
+    both = first.unionByName(new).join(asked, query_id)
     order = Window.partitionBy(query_id).orderBy("rank")
-    return both.select(query_id, key, F.round("score", 6).alias("score"), "origin", F.row_number().over(order).alias("rank"))
+    matched = F.when(F.col("origin") == "expanded", F.col("_wide")).otherwise(F.col("_raw"))
+    return both.select(query_id, key, F.round("score", 6).alias("score"), "origin", matched.alias("matched_query"), F.row_number().over(order).alias("rank"))
+
+
+def traced(hits: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """``hits`` of :func:`regulation_search` with ``retrieval_trace``: channel, matched query and what the record says of itself."""
+    about = records.select(key, *[F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("risk_level", "content_type")], F.coalesce("evidence_priority", F.lit(0)).alias("_p"))
+    trace = F.struct(
+        F.lit("regulation").alias("channel"), "matched_query", F.col("_risk_level").alias("risk_level"), F.col("_content_type").alias("content_type"), F.col("_p").alias("evidence_priority")
+    )
+    return hits.join(about, key).withColumn("retrieval_trace", trace).drop("_risk_level", "_content_type", "_p")
 
 
-def dual_channel(queries: DataFrame, terms: DataFrame, postings: DataFrame, idf: DataFrame, key: str, top: int = 5, query_id: str = "query_id") -> DataFrame:
+def dual_channel(queries: DataFrame, terms: DataFrame, postings: DataFrame, idf: DataFrame, key: str, top: int = 5, query_id: str = "query_id", how: index.Vectorizer = index.PLAIN) -> DataFrame:
     """(query_id, channel, key, score, rank): dictionary and regulation hits of every question; the dictionary is searched once."""
-    hits = dictionary_search(queries, terms, key, postings, idf, max(3, top), query_id).persist()
+    hits = cut(dictionary_search(queries, terms, key, postings, idf, max(3, top), query_id, how))
     wide = expanded(queries, hits, terms, key, query_id)
-    reg = regulation_search(queries, wide, postings, idf, key, top, query_id)
+    reg = regulation_search(queries, wide, postings, idf, key, top, query_id, how)
     return hits.select(query_id, F.lit("terminology").alias("channel"), key, "score", "rank").unionByName(reg.select(query_id, F.lit("regulation").alias("channel"), key, "score", "rank"))
 
 

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where the session names none."""
+    """The checkpoint folder of the session.
+
+    Where the session names none, a temporary one is set if all executors run
+    on this machine; on a cluster they couldn't read it, so that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="clausewright-"))
     return sc.getCheckpointDir()
 
@@ -21,6 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used where a frame that feeds several branches must be the same in each
     (range partitioning samples anew in every plan) and must outlive executors.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes a
+    copy once nothing refers to it any more.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

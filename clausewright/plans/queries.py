@@ -126,11 +126,28 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _state(spark: SparkSession, d: str, names: tuple[str, ...]) -> tuple:
+    """Folder and files of tables with their sizes and times, so that a changed table is another one."""
+    found = []
+    for name in names:
+        for f in sorted(table(spark, d, name).inputFiles()):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            found.append((f, status.getLen(), status.getModificationTime()))
+    return (d, *found)
+
+
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Index of all records, written once to the shared folder."""
-    records = _records(spark, d)
-    postings, idf = index.build(records, _KEY, "retrieval_text", ["record_type"])
-    return cut(postings), cut(idf), records
+    """Index of all records, written to the shared folder once a session for each state of the tables."""
+    built = spark.__dict__.setdefault("_clausewright_index", {})
+    state = _state(spark, d, ("regulation_clause", "glossary_term"))
+    if state not in built:
+        # the last one only: an index is as large as its tables
+        built.clear()
+        records = _records(spark, d)
+        postings, idf = index.build(records, _KEY, "retrieval_text", ["record_type"])
+        built[state] = cut(postings), idf, records
+    return built[state]
 
 
 def q16_tf(spark: SparkSession, d: str) -> DataFrame:
@@ -166,19 +183,25 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q21_dictionary_search(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.dictionary_search(table(spark, d, "queries"), _terms(spark, d), _KEY)
+    """Best terms of every question, by the index where the dictionary has none."""
+    p, idf, _ = _index(spark, d)
+    return retrieve.dictionary_search(table(spark, d, "queries"), _terms(spark, d), _KEY, p, idf)
 
 
 def q22_expand_query(spark: SparkSession, d: str) -> DataFrame:
+    p, idf, _ = _index(spark, d)
     q, terms = table(spark, d, "queries"), _terms(spark, d)
-    return retrieve.expanded(q, retrieve.dictionary_search(q, terms, _KEY, top=3), terms, _KEY)
+    return retrieve.expanded(q, retrieve.dictionary_search(q, terms, _KEY, p, idf, top=3), terms, _KEY)
 
 
 def q23_regulation_search(spark: SparkSession, d: str) -> DataFrame:
     p, idf, _ = _index(spark, d)
     q, terms = table(spark, d, "queries"), _terms(spark, d)
     wide = retrieve.expanded(q, retrieve.dictionary_search(q, terms, _KEY, p, idf, top=3), terms, _KEY)
-    return retrieve.regulation_search(q, wide, p, idf, _KEY).select("query_id", _KEY, F.round("score", 4).alias("score"), "origin", "rank")
+    found = retrieve.traced(retrieve.regulation_search(q, wide, p, idf, _KEY), _records(spark, d), _KEY)
+    t = F.col("retrieval_trace")
+    said = rank.trace(t["channel"], t["content_type"], t["risk_level"], t["evidence_priority"])
+    return found.select("query_id", _KEY, F.round("score", 4).alias("score"), "origin", t["matched_query"].alias("matched_query"), said.alias("trace"), "rank")
 
 
 def q24_dual_channel(spark: SparkSession, d: str) -> DataFrame:

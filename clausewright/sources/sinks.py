@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from clausewright.operators.index import PLAIN, Vectorizer
+
 
 def write_json_lines(records: DataFrame, folder: str, order: list[str] | None = None, partitions: int | None = None) -> None:
     """One record per line in part files; ``order`` sorts across them by ranges."""
@@ -38,8 +40,7 @@ class Settings:
     paths: dict[str, str] = field(default_factory=dict)
     documents: dict[str, dict[str, str]] = field(default_factory=dict)
     top: int = 5
-    least_gram: int = 2
-    most_gram: int = 4
+    vectorizer: Vectorizer = PLAIN
 
 
 def read_settings(path: str) -> Settings:
@@ -58,6 +59,8 @@ def read_settings(path: str) -> Settings:
         return str(p if Path(p).is_absolute() else base / p)
 
     search = raw.get("retrieval", {})
-    sizes = search.get("vectorizer", {}).get("ngram_range", [2, 4])
+    given = search.get("vectorizer", {})
+    least, most = given.get("ngram_range", [PLAIN.least, PLAIN.most])
+    how = Vectorizer(int(least), int(most), int(given.get("min_df", 1)), bool(given.get("lowercase", True)), bool(given.get("sublinear_tf", True)))
     documents = {k: {**v, **({"file": full(v["file"])} if v.get("file") else {})} for k, v in raw.get("documents", {}).items()}
-    return Settings({k: full(v) for k, v in raw.get("paths", {}).items()}, documents, int(search.get("top_k", 5)), int(sizes[0]), int(sizes[1]))
+    return Settings({k: full(v) for k, v in raw.get("paths", {}).items()}, documents, int(search.get("top_k", 5)), how)
