@@ -77,7 +77,9 @@ def weighted(tf: DataFrame, idf: DataFrame, key: str, keep: list[str] | None = N
     if records:
         often = F.broadcast(table.where(F.col("df") >= FREQUENT * records).select("gram", "idf"))
         rare = table.where(F.col("df") < FREQUENT * records).select("gram", "idf")
-        raw = tf.join(often, "gram").unionByName(tf.join(often, "gram", "left_anti").join(rare, "gram"))
+        # the rare ones come back to their records, the others have never left them
+        parts = int(tf.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        raw = tf.join(often, "gram").unionByName(tf.join(often, "gram", "left_anti").join(rare, "gram").repartition(parts, key))
     else:
         raw = tf.join(table, "gram")
     count = F.col("tf").cast("double")
@@ -90,7 +92,7 @@ def weighted(tf: DataFrame, idf: DataFrame, key: str, keep: list[str] | None = N
 def build(records: DataFrame, key: str, text: str, keep: list[str] | None = None, how: Vectorizer = PLAIN) -> tuple[DataFrame, DataFrame]:
     """(postings, idf) of the records; postings are partitioned by record, so that :func:`search` scores each record where it lies."""
     n = records.count()
-    tf = cut(term_frequency(records, key, text, keep, how))
+    tf = cut(term_frequency(records, key, text, keep, how), placed=True)
     idf = cut(inverse_frequency(tf, n, how))
     return weighted(tf, idf, key, keep, max(n, 1), how), idf
 

@@ -22,13 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, placed: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read from there.
 
     Used where a frame that feeds several branches must be the same in each
     (range partitioning samples anew in every plan) and must outlive executors.
     With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes a
-    copy once nothing refers to it any more.
+    copy once nothing refers to it any more. With ``placed`` it is planned
+    without adaptive execution, since only then Spark still knows afterwards by
+    which columns the copy is partitioned.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    if not placed:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausewright.functions import text as X
 from clausewright.operators import evaluate, index, ordered, packed, rank, retrieve, segment
 from clausewright.plans.lineage import cut
+from clausewright.sources import docx
 from clausewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,12 +118,8 @@ def q15_records_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    """Both record tables as one, each record once (its first row), under one numeric key."""
-    parts = []
-    for name, base in (("regulation_clause", 1), ("glossary_term", 2)):
-        t = table(spark, d, name)
-        first = t.groupBy("record_id").agg(F.min("row_id").alias("row_id"))
-        parts.append(t.join(first.select("row_id"), "row_id", "left_semi").withColumn(_KEY, F.col("row_id") * 10 + base))
+    """Every row of both record tables under one numeric key; a record delivered again is a row like any other."""
+    parts = [table(spark, d, name).withColumn(_KEY, F.col("row_id") * 10 + base) for name, base in (("regulation_clause", 1), ("glossary_term", 2))]
     return parts[0].unionByName(parts[1])
 
 
@@ -146,7 +143,7 @@ def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
         built.clear()
         records = _records(spark, d)
         postings, idf = index.build(records, _KEY, "retrieval_text", ["record_type"])
-        built[state] = cut(postings), idf, records
+        built[state] = cut(postings, placed=True), idf, records
     return built[state]
 
 
@@ -201,14 +198,14 @@ def q23_regulation_search(spark: SparkSession, d: str) -> DataFrame:
     found = retrieve.traced(retrieve.regulation_search(q, wide, p, idf, _KEY), _records(spark, d), _KEY)
     t = F.col("retrieval_trace")
     said = rank.trace(t["channel"], t["content_type"], t["risk_level"], t["evidence_priority"])
-    return found.select("query_id", _KEY, F.round("score", 4).alias("score"), "origin", t["matched_query"].alias("matched_query"), said.alias("trace"), "rank")
+    return found.select("query_id", _KEY, "score", "origin", t["matched_query"].alias("matched_query"), said.alias("trace"), "rank")
 
 
 def q24_dual_channel(spark: SparkSession, d: str) -> DataFrame:
     p, idf, _ = _index(spark, d)
     q = table(spark, d, "queries")
     channels = retrieve.dual_channel(q, _terms(spark, d), p, idf, _KEY)
-    return retrieve.chosen_channel(q, channels).select("query_id", "query_type", "channel", _KEY, F.round("score", 4).alias("score"), "rank")
+    return retrieve.chosen_channel(q, channels).select("query_id", "query_type", "channel", _KEY, "score", "rank")
 
 
 def q25_classify_query(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +227,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q27_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return rank.reranked(_hits(spark, d)).select("query_id", _KEY, "input_rank", F.round("combined", 4).alias("combined"), "rank")
+    return rank.reranked(_hits(spark, d)).select("query_id", _KEY, "input_rank", "combined", "rank")
 
 
 def q28_snippet(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +236,7 @@ def q28_snippet(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q30_glossary_select(spark: SparkSession, d: str) -> DataFrame:
-    return rank.glossary_choice(_hits(spark, d)).select("query_id", _KEY, F.round("choice_score", 4).alias("choice_score"))
+    return rank.glossary_choice(_hits(spark, d)).select("query_id", _KEY, "choice_score")
 
 
 def q31_citations(spark: SparkSession, d: str) -> DataFrame:
@@ -259,6 +256,12 @@ def q37_qa_log(spark: SparkSession, d: str) -> DataFrame:
     return first.select("f.log_id", "query_id", "deliveries", F.coalesce(F.size("f.citations"), F.lit(0)).alias("cited"))
 
 
+def q38_docx_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every block written into a document of its own and read again."""
+    found = docx.parsed(docx.written(table(spark, d, "blocks"), "block_id"))
+    return found.select(F.col("path").cast("long").alias("block_id"), "block_type", "text", F.transform("cell_rows", lambda r: F.array_join(r, "¦")).alias("rows")).withColumn("rows", F.array_join("rows", "‖"))
+
+
 def q39_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of held-out items as questions; relevant are the records that share the item's terms most."""
     p, idf, records = _index(spark, d)
@@ -296,6 +299,37 @@ def q44_next_line(spark: SparkSession, d: str) -> DataFrame:
     return ordered.neighbour(rows, segment.GROUP, segment.ORDER, "line", "next_line", 1).select("block_id", "next_line")
 
 
+def _glossary_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Terms as the lines they stood in: category headings as (source, place) asks, then both names on one line."""
+    g = table(spark, d, "glossary_term")
+    both = F.posexplode(F.array(F.concat_ws(" ", "category_zh", "category_en"), F.concat_ws(" ", "term_zh", "term_en")))
+    rows = g.select("source_id", "row_id", both.alias("pos", "line"))
+    return rows.select("source_id", F.col("row_id").alias("ord"), (F.col("row_id") * 2 + F.col("pos")).alias("block_id"), X.normalize(F.col("line")).alias("line"))
+
+
+def q46_term_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the terms found in categorised lines."""
+    g = table(spark, d, "glossary_term")
+    keys = segment.category_keys(spark, g.where("category_zh <> ''").select("category_zh", F.coalesce("category_en", F.lit("")).alias("category_en")).distinct())
+    found = segment.term_records(segment.with_category(_glossary_lines(spark, d), keys), table(spark, d, "source_registry"))
+    return found.select("record_id", "term_zh", "term_en", "abbreviation", "full_form", F.array_join("aliases", "|").alias("names"), "category_zh", "source_label", F.array_join("keywords", "|").alias("words"), "retrieval_text")
+
+
+def q47_all_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each source under all its part, chapter and appendix headings, each before the blocks of its share."""
+    r = table(spark, d, "regulation_clause").where("source_id is not null")
+    names = [("section_part_zh", "section_part_en", 0), ("section_chapter_zh", "section_chapter_en", 1), ("appendix_zh", "appendix_en", 2)]
+    heads = None
+    for zh, en, level in names:
+        one = r.where(f"{zh} <> ''").groupBy("source_id", zh).agg(F.max(F.coalesce(en, F.lit(""))).alias("en"), F.min("row_id").alias("at"))
+        one = one.select("source_id", "at", F.lit(level).alias("level"), F.posexplode(F.array(F.col(zh), "en")).alias("pos", "text")).where("text <> ''")
+        heads = one if heads is None else heads.unionByName(one)
+    place = heads.select("source_id", F.col("at").alias("ord"), (F.col("level") * 2 + F.col("pos")).cast("long").alias("block_id"), F.lit("paragraph").alias("block_type"), "text")
+    clauses = r.where("zh_text <> ''").select("source_id", F.col("row_id").alias("ord"), F.lit(6).cast("long").alias("block_id"), F.lit("paragraph").alias("block_type"), F.col("zh_text").alias("text"))
+    found = segment.with_headings(segment.lines(place.unionByName(clauses)))
+    return found.select("source_id", "ord", "block_id", "kind", *segment._SECTION)
+
+
 def q45_translation_candidate(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("query")
     return table(spark, d, "qa_log").select("log_id", X.translation_candidate(q).alias("candidate"), F.array_join(X.term_candidates(q), "|").alias("candidates"))

@@ -13,12 +13,15 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART = "word/document.xml"
+_NAMES = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_UNFIT = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 _SPACE = re.compile(r"\s+")
 _BULLET = re.compile("[·•]+")
 SCHEMA = "path string, ord long, block_type string, text string, cell_rows array<array<string>>"
@@ -69,9 +72,41 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(path, *b) for b in blocks_of(content, path)], columns=["path", "ord", "block_type", "text", "cell_rows"])
 
 
+def document_of(blocks: list[tuple[str, str | None, list[list[str | None]] | None]]) -> bytes:
+    """A document of (block_type, text, rows); what XML can't hold becomes a space."""
+
+    def para(text: str | None) -> str:
+        return f"<w:p><w:r><w:t>{escape(_UNFIT.sub(' ', text or ''))}</w:t></w:r></w:p>"
+
+    def table(rows: list[list[str | None]] | None) -> str:
+        return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{para(c)}</w:tc>" for c in row) + "</w:tr>" for row in rows or []) + "</w:tbl>"
+
+    body = "".join(table(rows) if kind == "table" else para(text) for kind, text, rows in blocks)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(PART, f'<w:document xmlns:w="{_NAMES}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def written(blocks: DataFrame, key: str) -> DataFrame:
+    """(path, content): each block (key, block_type, text, cell_rows) as a document of its own, named by its key."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [document_of([(b, t, None if r is None else [list(c) if c is not None else [] for c in r])]) for b, t, r in zip(pdf["block_type"], pdf["text"], pdf["cell_rows"])]
+            yield pd.DataFrame({"path": pdf["k"].astype(str), "content": made})
+
+    return blocks.select(F.col(key).alias("k"), "block_type", "text", "cell_rows").mapInPandas(write, "path string, content binary")
+
+
+def parsed(documents: DataFrame) -> DataFrame:
+    """Blocks of documents (path, content)."""
+    return documents.select("path", "content").mapInPandas(_parse, SCHEMA)
+
+
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Blocks of every document that the path or paths (files, folders or patterns) name."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_parse, SCHEMA)
+    return parsed(spark.read.format("binaryFile").load(path))
 
 
 def as_blocks(parsed: DataFrame, sources: DataFrame) -> DataFrame:
