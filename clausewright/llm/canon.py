@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausewright.plans.lineage import cut
+
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC_AS_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxhdqw"))
 GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρυιχκ", "ABEZHIKMNOPTYXovpuixk"))
@@ -32,6 +34,8 @@ AS_GREEK = {v: k for k, v in GREEK_AS_LATIN.items()}
 # Simplified radicals without a compatibility mapping.
 RADICALS = dict(zip("⺠⻁⻄⻅⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻤⻥⻦⻨⻩⻬⻮⻰", "民虎西见贝车长门青韦页风飞食马鬼鱼鸟麦黄齐齿龙"))
 
+# Letters of the scripts with look-alikes, as the classes of a Java pattern.
+_LATIN, _GREEK, _CYRILLIC = (rf"[\p{{L}}&&[{r}]]" for r in (r"\x{0}-\x{24f}\x{1e00}-\x{1eff}", r"\x{370}-\x{3ff}\x{1f00}-\x{1fff}", r"\x{400}-\x{52f}"))
 _JOINERS = "‌‍"
 _SUSPECT = re.compile(r"[^\x00-\x7e一-鿿、-】！-／：-＠]")
 _RUN = re.compile(r"[^\W\d_]+")
@@ -123,16 +127,25 @@ def fold_text(s: pd.Series) -> pd.Series:
     return s.map(fold)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def suspicious_tokens(s: pd.Series) -> pd.Series:
+_FORM = T.StructType([T.StructField("folded", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))])
+
+
+def suspicious(text: str | None) -> list[str]:
     """Distinct letter runs for which :func:`repairs_of` offers a repair."""
-    return s.map(lambda x: [] if not x or x.isascii() else sorted({t for t in runs(x) if not t.isascii() and repairs_of(t)}))
+    return [] if not text or text.isascii() else sorted({t for t in runs(text) if not t.isascii() and repairs_of(t)})
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def plain_tokens(s: pd.Series) -> pd.Series:
-    """Case-folded letter runs of one script each: what the vocabulary counts."""
-    return s.map(lambda x: [t.casefold() for t in runs(x) if t.isascii() or len({script(c) for c in t}) == 1])
+@F.pandas_udf(_FORM)
+def form(s: pd.Series) -> pd.DataFrame:
+    """Folded text and its suspicious letter runs, in one pass."""
+    folded = [fold(x) for x in s]
+    return pd.DataFrame({"folded": folded, "tokens": [suspicious(x) for x in folded]})
+
+
+def plain_tokens(folded: Column) -> Column:
+    """Lower-case letter runs of one script each, what the vocabulary counts; JVM-side."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(folded, F.lit(""))), F.lit(f"[{_LATIN}{_GREEK}{_CYRILLIC}]+"), F.lit(0))
+    return F.filter(found, lambda t: t.rlike(f"^(?:{_LATIN}+|{_GREEK}+|{_CYRILLIC}+)$"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -173,20 +186,20 @@ def _parts(s: pd.Series) -> pd.Series:
     return s.map(lambda c: sorted({c[i:j] for i in range(len(c)) for j in range(i + 2, min(len(c), i + 24) + 1)}))
 
 
-def vocabulary(values: DataFrame, column: str) -> DataFrame:
-    """(word, n): case-folded single-script letter runs of all values with their counts."""
-    return values.select(F.explode(plain_tokens(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def vocabulary(folded: DataFrame, column: str) -> DataFrame:
+    """(word, n): lower-case single-script letter runs of folded values with their counts."""
+    return folded.select(F.explode(plain_tokens(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def repairs(values: DataFrame, column: str, vocab: DataFrame, glue_min: int = 3) -> DataFrame:
-    """(token, repaired): accepted repairs of all suspicious tokens of the column.
+def repairs(values: DataFrame, tokens: str, vocab: DataFrame, glue_min: int = 3) -> DataFrame:
+    """(token, repaired): accepted repairs of all suspicious tokens listed in the column ``tokens``.
 
     Accepted is a repair that the vocabulary holds (if the token is of one
     script, more often than the token itself), or that is a concatenation of words seen at least ``glue_min``
     times each (lost spaces glue words together).
     """
-    tokens = values.select(F.explode(suspicious_tokens(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("own"))
-    cand = tokens.select("token", "own", F.posexplode(offered("token")).alias("rank", "repaired")).withColumn("word", F.lower("repaired"))
+    seen = values.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("own"))
+    cand = seen.select("token", "own", F.posexplode(offered("token")).alias("rank", "repaired")).withColumn("word", F.lower("repaired"))
     known = cand.join(vocab, "word", "left")
     mixed = F.col("token").rlike("[A-Za-z\u00c0-\u024f]")  # a token of one foreign script may be a foreign word
     whole = known.where(F.col("n").isNotNull() & (mixed | (F.col("n") > F.col("own")))).select("token", "repaired", "rank")
@@ -209,18 +222,19 @@ def canonical(values: DataFrame, key: list[str], column: str, out: str = "canon"
     null out. ``corpus`` (one column named like ``column``) feeds the
     vocabulary; by default the column itself.
     """
-    folded = values.withColumn("folded", fold_text(F.col(column)))
-    source = fold_text(F.col(column))
-    corpus = (values if corpus is None else corpus).select(source.alias("folded"))
-    accepted = repairs(folded, "folded", vocabulary(corpus, "folded"))
-    wanted = folded.select(*key, F.explode(suspicious_tokens("folded")).alias("token"))
+    # texts are folded once; what needs no repair isn't joined with anything
+    staged = cut(values.withColumn("_form", form(F.col(column))).withColumn("folded", F.col("_form.folded")).withColumn("_tokens", F.col("_form.tokens")).drop("_form"))
+    source = staged.select("folded") if corpus is None else corpus.select(fold_text(F.col(column)).alias("folded"))
+    accepted = repairs(staged, "_tokens", vocabulary(source, "folded"))
+    has = F.size("_tokens") > 0
+    wanted = staged.where(has).select(*key, F.explode("_tokens").alias("token"))
     per_row = (
         wanted.join(accepted, "token")
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.struct("token", "repaired"))).alias("_fix"))
     )
-    joined = folded.join(per_row, key, "left")
-    return joined.withColumn(out, F.when(F.col("_fix").isNull(), F.col("folded")).otherwise(apply_repairs("folded", F.col("_fix.token"), F.col("_fix.repaired")))).drop("_fix")
+    fixed = staged.where(has).join(per_row, key, "left").withColumn(out, F.when(F.col("_fix").isNull(), F.col("folded")).otherwise(apply_repairs("folded", F.col("_fix.token"), F.col("_fix.repaired"))))
+    return staged.where(~has).withColumn(out, F.col("folded")).drop("_tokens").unionByName(fixed.drop("_fix", "_tokens"))
 
 
 def differs(raw: Column, canon: Column) -> Column:

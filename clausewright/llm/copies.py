@@ -16,6 +16,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,29 +57,29 @@ def keyed(rows: DataFrame, row_id: str, first: str, second: str) -> DataFrame:
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adjacent runs of one sorted partition: each row with the first row of its run; first and last run are edges."""
-    last_key, head, first_run, held = None, None, True, []
+    """Adjacent runs of one sorted partition: each row with the first row of its run.
+
+    Runs pass through and are never held. Of the first and the last run, which
+    may go on in a neighbour, an extra row without ``row_id`` names the key.
+    """
+    last_key, head, first_key = None, None, None
     for pdf in batches:
         if not len(pdf):
             continue
         keys, ids = pdf["key"].to_numpy(object), pdf["row_id"].to_numpy()
-        new = keys[1:] != keys[:-1]
-        cut_at = [i + 1 for i in new.nonzero()[0]]
-        bounds = [0, *cut_at, len(keys)]
-        for a, b in zip(bounds, bounds[1:]):
-            if keys[a] != last_key:
-                if last_key is not None:
-                    if first_run:
-                        yield from (x.assign(edge=last_key) for x in held)
-                    else:
-                        yield from held
-                    first_run, held = False, []
-                last_key, head = keys[a], ids[a]
-            held.append(pd.DataFrame({"row_id": ids[a:b], "head": head, "edge": None}))
-            if len(held) > 64 and first_run:
-                yield from (x.assign(edge=last_key) for x in held)
-                held = []
-    yield from (x.assign(edge=last_key) for x in held)
+        starts = np.concatenate(([keys[0] != last_key], keys[1:] != keys[:-1]))
+        at = np.flatnonzero(starts)
+        heads = np.empty(len(keys), np.int64)
+        heads[: at[0] if len(at) else len(keys)] = head if head is not None else 0
+        for a, b in zip(at, [*at[1:], len(keys)]):
+            heads[a:b] = ids[a]
+        if first_key is None:
+            first_key = keys[0]
+            yield pd.DataFrame({"row_id": [None], "head": [ids[0]], "edge": [first_key]})
+        last_key, head = keys[-1], int(heads[-1])
+        yield pd.DataFrame({"row_id": ids, "head": heads, "edge": None})
+    if last_key is not None and last_key != first_key:
+        yield pd.DataFrame({"row_id": [None], "head": [head], "edge": [last_key]})
 
 
 def members(rows: DataFrame, row_id: str, first: str, second: str, partitions: int | None = None) -> DataFrame:
@@ -86,31 +87,17 @@ def members(rows: DataFrame, row_id: str, first: str, second: str, partitions: i
     return stitched(keyed(rows, row_id, first, second), partitions)
 
 
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """:func:`_scan` with its small pieces gathered into larger batches."""
-    held, size = [], 0
-    for piece in _scan(batches):
-        held.append(piece)
-        size += len(piece)
-        if size >= 10_000:
-            yield pd.concat(held)
-            held, size = [], 0
-    if held:
-        yield pd.concat(held)
-
-
 def stitched(keys: DataFrame, partitions: int | None = None) -> DataFrame:
     """Range partitioning, external sort and run scan over (row_id, key)."""
     by = [F.col("key"), F.col("row_id")]
     ranged = keys.repartitionByRange(partitions, *by) if partitions else keys.repartitionByRange(*by)
-    scanned = cut(ranged.sortWithinPartitions(*by).mapInPandas(_joined, "row_id long, head long, edge string"))
-    # at most two runs per partition are edges, so few keys remain after the map-side minimum
-    heads = scanned.where("edge is not null").groupBy("edge").agg(F.min("head").alias("true_head"))
-    whole = scanned.where("edge is null").select(F.col("head").alias("first_row_id"), F.col("row_id").alias("copy_row_id"))
-    # one row per (key, local head) reaches the join, not one per member
-    local = scanned.where("edge is not null").select("edge", "head").distinct().join(heads, "edge").select("head", "true_head")
-    edges = scanned.where("edge is not null").join(F.broadcast(local), "head").select(F.col("true_head").alias("first_row_id"), F.col("row_id").alias("copy_row_id"))
-    return whole.unionByName(edges)
+    scanned = cut(ranged.sortWithinPartitions(*by).mapInPandas(_scan, "row_id long, head long, edge string"))
+    # at most two rows per partition name an edge; a run that spans partitions takes the smallest head
+    ends = scanned.where("row_id is null").select("edge", "head").distinct()
+    heads = ends.groupBy("edge").agg(F.min("head").alias("true_head"))
+    local = ends.join(heads, "edge").where("head <> true_head").select("head", "true_head")
+    joined = scanned.where("row_id is not null").join(F.broadcast(local), "head", "left")
+    return joined.select(F.coalesce("true_head", "head").alias("first_row_id"), F.col("row_id").alias("copy_row_id"))
 
 
 def collapsed(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Language of each document and of each stretch of a mixed one (problem 9).
 
-Hierarchical discrimination: the family of a sentence is predicted first, from
-the scripts of its letters; within a family one-versus-one linear support
+Hierarchical discrimination: the family of a sentence is predicted first, by
+the probabilities of its letters' scripts in each family, which are fitted on
+the sample; within a family one-versus-one linear support
 vector machines on hashed character n-grams separate the related languages.
 Decisions along a document are smoothed by a Viterbi pass, so that a short
 doubtful sentence follows its neighbours while a clear one stands.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.llm.canon import fold
@@ -35,26 +37,30 @@ from clausewright.llm.sentences import BoundaryModel
 LANGUAGES = ("zh", "en", "ja", "de", "fr", "ru")
 _BITS = 15
 _QUOTED = re.compile(r"“[^”]*”|「[^」]*」|《[^》]*》|«[^»]*»|\"[^\"]*\"|（[^）]*）|\([^)]*\)")
-_CODE = re.compile(
-    r"(?<![A-Za-zÀ-ɏ])(?:[A-ZÀ-Þ][A-Za-zÀ-ɏ]*-\d+|[A-Za-zÀ-ɏ]{0,3}\.?\s?\d+(?:[.:,/]\d+)*(?:\s?(?:kV|mm|kg|kN|Hz|min|m/s|N·m|cm|km|m|A|V|W))?|kV|mm|kg|kN|Hz|cos|m/s|N·m)(?![A-Za-zÀ-ɏ])"
-)
-_SCRIPTS = re.compile(r"(?P<han>[㐀-䶿一-鿿豈-﫿]+)|(?P<kana>[぀-ヿ]+)|(?P<cyr>[Ѐ-ԯ]+)|(?P<latin>[A-Za-zÀ-ɏ]+)")
-# What a letter of each script weighs; an ideograph carries about as much as several letters.
-_WEIGHT = {"han": 2.5, "kana": 2.5, "cyr": 1.0, "latin": 1.0}
-_FAMILY = {"han": "han", "kana": "han", "cyr": "cyrillic", "latin": "latin"}
-
-
-def family(sentence: str) -> tuple[str, float]:
-    """Family of a sentence and its share of the letters; names, codes and quotations count only if nothing else does."""
-    for text in (_CODE.sub(" ", _QUOTED.sub(" ", sentence)), _QUOTED.sub(" ", sentence), sentence):
+_CODE = re.compile(r"(?<!\w)[^\W\d]*-?\d[\w.:,/-]*")  # numbers and names with a number in them
+# The family of each language.
+FAMILIES = {"zh": "han", "ja": "han", "en": "latin", "de": "latin", "fr": "latin", "ru": "cyrillic"}
+_SCRIPT: dict[str, str] = {}
+
+
+def script_of(ch: str) -> str:
+    """Script of a letter by its Unicode name; '' for anything else."""
+    got = _SCRIPT.get(ch)
+    if got is None:
+        got = _SCRIPT[ch] = unicodedata.name(ch, "").split(" ")[0].split("-")[0] if ch.isalpha() else ""
+    return got
+
+
+def scripts(sentence: str) -> Counter:
+    """Letters of a sentence by script; those in quotations and brackets count only if there are no others."""
+    for text in (_QUOTED.sub(" ", sentence), sentence):
         seen: Counter = Counter()
-        for m in _SCRIPTS.finditer(text):
-            kind = m.lastgroup
-            seen[_FAMILY[kind]] += _WEIGHT[kind] * (m.end() - m.start())
-        if seen and max(seen.values()) >= 2:
-            best, n = max(seen.items(), key=lambda kv: kv[1])
-            return best, n / sum(seen.values())
-    return "", 0.0
+        for ch, n in Counter(text).items():
+            if name := script_of(ch):
+                seen[name] += n
+        if seen:
+            break
+    return seen
 
 
 def words_of(sentence: str) -> list[str]:
@@ -120,10 +126,32 @@ class LanguageModel:
     members: dict[str, list[str]] = field(default_factory=dict)
     machines: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
     kept: dict[str, np.ndarray] = field(default_factory=dict)
+    letters: dict[str, dict[str, float]] = field(default_factory=dict)  # log probability of each script's letters in a family
+
+    def family(self, sentence: str) -> tuple[str, float]:
+        """Likeliest family of a sentence by the scripts of its letters, and the share of letters that are likeliest in it; '' with fewer than two letters."""
+        seen = scripts(sentence)
+        if sum(seen.values()) < 2 or not self.letters:
+            return "", 0.0  # a single letter says nothing
+        best = max(self.letters, key=lambda f: sum(n * self.letters[f].get(k, self.letters[f][""]) for k, n in seen.items()))
+        typical = sum(n for k, n in seen.items() if self.letters[best].get(k, self.letters[best][""]) >= max(v.get(k, v[""]) for v in self.letters.values()))
+        return best, max(0.01, typical / sum(seen.values()))
+
+    def _fit_families(self, rows: list[tuple[str, str]]) -> None:
+        """Script probabilities of each family, first from all rows, then from those the first fit doesn't contradict."""
+        known = [(FAMILIES.get(label, label), s) for label, s in rows]
+        for last in (False, True):
+            counts: dict[str, Counter] = {}
+            for kin, s in known:
+                counts.setdefault(kin, Counter()).update(scripts(s))
+            kinds = {k for c in counts.values() for k in c}
+            self.letters = {kin: {k: math.log((c[k] + 1) / (sum(c.values()) + len(kinds) + 1)) for k in (*kinds, "")} for kin, c in sorted(counts.items())}
+            if not last:
+                known = [(kin, s) for kin, s in known if self.family(s)[0] == kin]
 
     def scores(self, sentence: str) -> dict[str, float] | None:
         """Probability of each language of the sentence's family; None without letters."""
-        kin, share = family(sentence)
+        kin, share = self.family(sentence)
         if not kin:
             return None
         langs = self.members.get(kin, [])
@@ -193,20 +221,12 @@ class LanguageModel:
             votes_of.setdefault(shape, Counter())[label] += 1
         # a sentence seen under several labels belongs to the one in which it is relatively most frequent
         seen = {(max(sorted(v), key=lambda q: v[q] / total[q]), shape): text[shape] for shape, v in votes_of.items()}
-        kin = {s: family(s)[0] for s in seen.values()}
-        votes: dict[str, Counter] = {}
-        for (label, _), s in seen.items():
-            votes.setdefault(label, Counter())[kin[s]] += 1
-        home = {label: max((k for k in v if k), key=lambda k: v[k], default="") for label, v in votes.items()}
-        # a label of few rows can be mostly wrong: a family that others don't claim belongs to the label most common in it
-        for fam in {k for v in votes.values() for k in v if k}:
-            if fam not in home.values():
-                home[max(votes, key=lambda q: votes[q][fam] / sum(votes[q].values()))] = fam
         model = cls()
-        for label, fam in sorted(home.items()):
-            if fam:
-                model.members.setdefault(fam, []).append(label)
-        rows = {label: [s for (q, _), s in seen.items() if q == label and kin[s] == home[label]] for label in home}
+        model._fit_families([(label, s) for (label, _), s in seen.items()])
+        for label in sorted(total):
+            model.members.setdefault(FAMILIES.get(label, label), []).append(label)
+        kin = {s: model.family(s)[0] for s in seen.values()}
+        rows = {label: [s for (q, _), s in seen.items() if q == label and kin[s] == FAMILIES.get(label, label)] for label in total}
         cache = {s: features(s, model.kept) for v in rows.values() for s in v}
         for last in (False, True):
             for langs in model.members.values():
@@ -230,10 +250,9 @@ def label_of(lang: Column) -> Column:
 def train(documents: DataFrame, text: str, lang: str, key: str, boundaries: BoundaryModel, languages: tuple[str, ...] = LANGUAGES, per_language: int = 600) -> LanguageModel:
     """Fit on at most ``per_language`` documents of each label, by order of a hash of the key."""
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), label_of(F.col(lang)).alias("l")).where("t is not null and t <> ''")
-    parts = [rows.where(F.col("l") == q).orderBy(F.xxhash64("k"), "k").limit(per_language) for q in languages]
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.unionAll(p)
+    # a limit in each partition stands below the window's shuffle, so the table is read once and few rows move
+    first = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
+    sample = rows.where(F.col("l").isin(list(languages))).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).select("t", "l").orderBy("l", F.xxhash64("t"))
     labelled = []
     for r in sample.toPandas().itertuples(index=False):
         start = 0

@@ -7,8 +7,10 @@ An automaton over all pieces scans each document once; each hit is verified by
 Myers' bit-parallel distance over the windows that hold the piece, and the
 longest exact run at the hit is measured. A leak with run >= window is exact.
 
-The items are a stated query set of fixed size; the automaton over their
-pieces goes to each executor, and the corpus is neither shuffled nor collected.
+The items are a stated query set; the automaton over their pieces is built once
+and goes to each executor, and the corpus is neither shuffled nor collected.
+Sets of more than ``most`` bytes of text are searched in several passes over
+the corpus, so that no executor holds more at once.
 
 Defined results: null and '' texts and items shorter than the window never
 match; characters that are no letters or digits, case and the differences that
@@ -31,6 +33,7 @@ from clausewright.llm.canon import AS_LATIN, fold
 _WORD = re.compile(r"[^\W_]+")
 _LOOKS = str.maketrans({k.casefold(): v.casefold() for k, v in AS_LATIN.items()})
 _HAN = re.compile("[㐀-鿿豈-﫿]")
+_LATIN = re.compile("[A-Za-zÀ-ɏ]")
 CHARS, WORDS = 24, 12  # shortest run that counts, for items in Chinese and for others
 
 
@@ -139,15 +142,15 @@ class _Side:
         return False
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, fields: list[str], budget: int = 1, block: int = 20_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, fields: list[str], budget: int = 1, most: int = 32 << 20) -> DataFrame:
     """(doc_id, item_id, run, window): the items of which a document holds a window within the budget.
 
     ``run`` is the longest exact run in the item's unit, ``window`` the length
-    that counts. At most about ``block`` items go to the executors at once;
-    more are searched in several passes.
+    that counts.
     """
     wanted = items.select(F.col(item_id).cast("long").alias("i"), *fields).where("i is not null").distinct()
-    passes = max(1, -(-wanted.count() // block))
+    size = wanted.agg(F.sum(sum((F.coalesce(F.octet_length(f), F.lit(0)) for f in fields), F.lit(0)))).first()[0] or 0
+    passes = max(1, -(-size // most))
     found = [_pass(documents, wanted.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n) if passes > 1 else wanted, doc_id, text, item_id, budget) for n in range(passes)]
     out = found[0]
     for more in found[1:]:
@@ -156,21 +159,21 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
 
 
 def _pass(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, budget: int) -> DataFrame:
-    held = [tuple(r) for r in items.collect()]
-    shared = documents.sparkSession.sparkContext.broadcast(held)
+    chars, tokens = _Side(CHARS, budget), _Side(WORDS, budget)
+    for item, *texts in items.toLocalIterator():
+        # the unit is that of the item as a whole: a quoted term of the other script doesn't change it
+        whole = "".join(t or "" for t in texts)
+        chinese = 3 * len(_HAN.findall(whole)) > len(_LATIN.findall(whole))
+        for t in texts:
+            units = words(t)
+            if chinese:
+                chars.add(item, "".join(units))
+            else:
+                tokens.add(item, units)
+    shared = documents.sparkSession.sparkContext.broadcast((chars.close(), tokens.close()))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chars, tokens = _Side(CHARS, budget), _Side(WORDS, budget)
-        for item, *texts in shared.value:
-            chinese = bool(_HAN.search("".join(t or "" for t in texts)))
-            for t in texts:
-                units = words(t)
-                if chinese:
-                    chars.add(item, "".join(units))
-                else:
-                    tokens.add(item, units)
-        chars.close()
-        tokens.close()
+        chars, tokens = shared.value
         for pdf in batches:
             rows = []
             for doc, t in zip(pdf["d"], pdf["t"]):

@@ -10,8 +10,8 @@ find the lambdas. Gradient and curvature are sums over a histogram of sizes
 per source, computed by Spark; the driver holds one number per source.
 
 Rates are rounded into copies by systematic rounding along the sizes, in
-buckets whose totals are prefix-summed, so that a hot source needs no single
-task. Each document gets the rate rounded down or up, never above the cap.
+buckets of about 50,000 documents whose totals are prefix-summed, so that a hot
+source needs no single task. Each document gets the rate rounded down or up, never above the cap.
 
 Defined results: sources are compared in lower case with '_' for white space
 and hyphens; documents without a source, of a source without a target, or
@@ -27,8 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-_BUCKETS = 256
+from clausewright.plans.lineage import cut
+
+_BUCKET = 50_000  # documents of one source that are prefix-summed in one task
 
 
 def source_name(c: Column) -> Column:
@@ -36,7 +37,7 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
 
 
-def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
+def token_count(text: Column, tokenizer: str) -> Column:
     """Number of tokens of a text; null and '' have none."""
 
     @F.pandas_udf("long")
@@ -61,7 +62,7 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
-def sized(documents: DataFrame, targets: DataFrame, doc_id: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def sized(documents: DataFrame, targets: DataFrame, doc_id: str, text: str, source: str, tokenizer: str) -> DataFrame:
     """(doc_id, source, tokens) of the documents of a source with a target; targets are one row per source."""
     rows = documents.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("_t"))
     wanted = rows.join(F.broadcast(targets.select("source")), "source").withColumn("tokens", token_count(F.col("_t"), tokenizer))
@@ -120,8 +121,8 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> tu
 
     ``total`` is the wanted number of tokens, by default those of all sources together.
     """
-    sizes = sizes.persist()
-    histogram = sizes.groupBy("source", "tokens").agg(F.count("*").alias("n")).persist()
+    sizes = cut(sizes)
+    histogram = cut(sizes.groupBy("source", "tokens").agg(F.count("*").alias("n")))
     have = {r["source"]: (r["t"], r["n"]) for r in histogram.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()}
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.collect()}
     total = float(total if total is not None else sum(t for t, _ in have.values()))
@@ -135,16 +136,18 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> tu
             goals[s] = (goal, tokens / n, float(cap))
     full = {s for s, (goal, mean, cap) in goals.items() if goal >= cap * have[s][0] - 1e-9}
     lam = solve(histogram, {s: g for s, g in goals.items() if s not in full})
-    rate = F.lit(0.0)
+    rate, buckets = F.lit(0.0), F.lit(1)
+    for s, (_, n) in have.items():
+        buckets = F.when(F.col("source") == s, F.lit(-(-n // _BUCKET))).otherwise(buckets)
     for s, (_, mean, cap) in goals.items():
         rate = F.when(F.col("source") == s, F.lit(cap) if s in full else _tilt(lam[s], mean, cap)).otherwise(rate)
-    rated = sizes.withColumn("rate", rate).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)))
+    rated = sizes.withColumn("rate", rate).withColumn("_b", F.pmod(F.xxhash64("doc_id"), buckets))
     ordered = Window.partitionBy("source", "_b").orderBy("tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     sums = rated.groupBy("source", "_b").agg(F.sum("rate").alias("_s"))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 256 rows per target
+    # one row for each 50,000 documents
     starts = sums.select("source", "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_o"))
-    run = rated.join(F.broadcast(starts), ["source", "_b"]).withColumn("_c", F.col("_o") + F.sum("rate").over(ordered))
+    run = rated.join(starts, ["source", "_b"]).withColumn("_c", F.col("_o") + F.sum("rate").over(ordered))
     copies = (F.floor(F.col("_c") + 0.5 + 1e-9) - F.floor(F.col("_c") - F.col("rate") + 0.5 + 1e-9)).cast("long")
     return run.select("doc_id", "source", "tokens", "rate", copies.alias("copies")), report
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausewright.llm import align, canon, copies, langid, leaks, mixing, sentences, split
 from clausewright.sources.tables import table
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"  # where the queries find a public tokenizer
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -98,7 +99,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
     targets = table(spark, d, "mix_targets")
-    return mixing.plan(mixing.sized(table(spark, d, "documents"), targets, "doc_id", "text", "source"), targets)
+    return mixing.plan(mixing.sized(table(spark, d, "documents"), targets, "doc_id", "text", "source", TOKENIZER), targets)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Every gap between two characters has a boundary strength. A sparse table
 answers "strongest gap in this window, the rightmost of equals" in constant
 time; each piece ends at the strongest gap of its permissible window and the
-next begins ``overlap`` characters before that end.
+next begins ``overlap`` characters before that end. The window is all that the
+limit permits: from the first character that the piece before didn't hold (or
+from ``least`` characters on, if short pieces are unwanted) to the limit.
 
 Defined results: null, '' and texts within the limit come out as one piece
 (null and '' as none); a text without any pause is cut at the limit, inside a
@@ -28,7 +30,7 @@ _RULES = [
     (SPACE, re.compile(r"\s+")),
     (COMMA, re.compile(r"[,，、]+(?!\d)[”’\"')）」』】》]*\s*")),
     (CLAUSE, re.compile(r"[;；:：]+(?!\d)[”’\"')）」』】》]*\s*")),
-    (SENTENCE, re.compile(r"(?:[。！？!?…．]+(?!\d)|(?<![\W_][A-Za-z])(?<!\b[A-Z][a-z])(?<!\b[A-Z][a-z]{2})(?<!approx)(?<!vs)\.+(?=\s+[A-Z]|\s*$|[一-鿿]))[”’\"')）」』】》]*\s*")),
+    (SENTENCE, re.compile(r"(?:[。！？!?…．]+(?!\d)|(?<![\W_][A-Za-z])(?<!\b[A-Z][a-z])(?<!\b[A-Z][a-z]{2})\.+(?=\s+[A-Z]|\s*$|[一-鿿]))[”’\"')）」』】》]*\s*")),
     (LINE, re.compile(r"[ \t]*\r?\n[ \t]*")),
     (PARAGRAPH, re.compile(r"\n\s*\n\s*")),
 ]
@@ -71,9 +73,9 @@ class StrongestGap:
         return int(max(level[lo], level[hi - (1 << k) + 1]) % (self.n + 1))
 
 
-def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, strength of the cut) of each piece; ends and starts count code points."""
-    if limit < 1 or not 0 <= overlap < limit:
+def pieces(text: str, limit: int, overlap: int, least: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, strength of the cut) of each piece; ends and starts count code points. Only the last piece may be shorter than ``least``."""
+    if limit < 1 or not 0 <= overlap < limit or least > limit:
         raise ValueError(f"limit {limit} and overlap {overlap} leave no room for a piece")
     n = len(text)
     if n <= limit:
@@ -82,13 +84,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     index = StrongestGap(strength, limit)
     out, start = [], 0
     while n - start > limit:
-        # a first try keeps pieces at least half full, so that strong early gaps don't shred the text
-        lo = start + max(overlap + 1, limit // 2)
-        end = index.query(min(lo, start + limit), start + limit)
-        if strength[end] <= COMMA:
-            wider = index.query(start + overlap + 1, start + limit)
-            if strength[wider] > max(COMMA, strength[end]) or strength[end] <= ANY:
-                end = wider
+        end = index.query(start + max(overlap + 1, least), start + limit)
         out.append((start, end, int(strength[end])))
         start = end - overlap
     out.append((start, n, PARAGRAPH))

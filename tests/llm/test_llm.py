@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import align, canon, copies, langid, leaks, mixing, sentences, split
+from clausewright.llm import align, canon, copies, langid, leaks, mixing, queries, sentences, split
 
 
 # --- 1 splitting
@@ -48,6 +48,12 @@ def test_natural_cuts():
         split.pieces("abc", 5, 5)
 
 
+def test_strongest_cut_of_the_whole_window():
+    text = "a" * 20 + ". " + "B" + "b" * 43 + "; " + "c" * 60
+    assert split.pieces(text, 100, 5)[0][1] == 22
+    assert split.pieces(text, 100, 5, least=50)[0][1] == 68
+
+
 def test_split_query(spark):
     rows = spark.createDataFrame([(1, "甲" * 50, "x"), (2, None, ""), (3, "", "x" * 21), (4, "甲" * 10, None)], "row_id long, zh_text string, retrieval_text string")
     limits = spark.createDataFrame([("zh_text", 10, 2), ("retrieval_text", 20, 3)], "field_name string, max_chars int, overlap_chars int")
@@ -76,6 +82,14 @@ def test_canonical(spark):
     assert canon.canonical(df.limit(0), ["row_id"], "value").count() == 0
 
 
+def test_vocabulary_words_are_runs_of_one_script(spark):
+    texts = ["contact wire 25kV", "соntасt Щит-12 φάση", "接触线wire甲 naïve_x Ωa", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "folded string")
+    want = [[t.lower() for t in canon.runs(x) if len({canon.script(c) for c in t}) == 1] for x in texts]
+    assert [r[0] for r in df.select(canon.plain_tokens(F.col("folded"))).collect()] == want
+    assert any("щит" in w for w in want) and any("φάση" in w for w in want)
+
+
 # --- 2 copies
 
 
@@ -339,10 +353,18 @@ def test_leaks_against_brute_force(spark):
                 want.add((d, i))
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, q string, a string"), "doc_id", "text", "item_id", ["q", "a"])
     assert {(r.doc_id, r.item_id) for r in got.where("run >= `window`").collect()} == want and want
-    few = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, q string, a string"), "doc_id", "text", "item_id", ["q", "a"], block=3)
+    few = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, q string, a string"), "doc_id", "text", "item_id", ["q", "a"], most=300)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, got.collect()))
 
 
+def test_leak_unit_is_that_of_the_item(spark):
+    words = [f"word{chr(97 + i)}" for i in range(14)]
+    items = spark.createDataFrame([(1, "The term 接触线 is asked for. " + " ".join(words), None)], "item_id long, q string, a string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[:12])), (2, "x " + " ".join(words[:10]))], "doc_id long, text string")
+    got = leaks.leaks(docs, items, "doc_id", "text", "item_id", ["q", "a"])
+    assert [(r.doc_id, r.run, r.window) for r in got.where("run >= `window`").collect()] == [(1, 12, 12)]
+
+
 # --- 8 mixing
 
 
@@ -352,7 +374,7 @@ def test_mixing(spark):
     rows += [(3000, words, None), (3001, None, "tiny"), (3002, "", "tiny"), (3003, words, "unlisted")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     targets = spark.createDataFrame([("big_source", 0.4, 1), ("mid_source", 0.4, 4), ("tiny", 0.1, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
-    mixed, report = mixing.plan(mixing.sized(docs, targets, "doc_id", "text", "source"), targets)
+    mixed, report = mixing.plan(mixing.sized(docs, targets, "doc_id", "text", "source", queries.TOKENIZER), targets)
     got = {r.source: r for r in mixing.shares(mixed, report).collect()}
     for s in ("big_source", "mid_source"):
         assert abs(got[s].mixed_tokens - got[s].goal_tokens) < 0.02 * got[s].goal_tokens and not got[s].capped
@@ -364,7 +386,7 @@ def test_mixing(spark):
     one = mixed.where("source = 'big_source' and rate < 0.999").select("tokens", "rate").distinct().orderBy("tokens").toPandas()
     slope = np.log(one["rate"]) / one["tokens"]
     assert slope.max() - slope.min() < 1e-9
-    empty, none = mixing.plan(mixing.sized(docs.limit(0), targets, "doc_id", "text", "source"), targets)
+    empty, none = mixing.plan(mixing.sized(docs.limit(0), targets, "doc_id", "text", "source", queries.TOKENIZER), targets)
     assert {r.mixed_tokens for r in mixing.shares(empty, none).collect()} == {0}
 
 
@@ -382,7 +404,7 @@ SAMPLES = {
 
 def test_language_scores_are_those_of_the_fitted_machines():
     w = np.random.default_rng(3).normal(size=(1 << 15) + 1) / 9
-    model = langid.LanguageModel({"latin": ["de", "en"]}, {("de", "en"): w})
+    model = langid.LanguageModel({"latin": ["de", "en"]}, {("de", "en"): w}, letters={"latin": {"LATIN": -0.1, "": -9.0}})
     for s in ("making taking baking", "the other brother", "ein kleines eigenes"):
         x = langid.features(s)
         z = 3 * (w[x].sum() / len(x) ** 0.5 + w[-1])
