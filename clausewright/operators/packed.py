@@ -8,7 +8,8 @@ each field. Quoted and bracketed spans are atomic.
 
 Fields without an open delimiter feed the value frequencies directly; only the
 candidate segments of the others are joined with the frequency table, so
-nothing of the column is collected but one probability per delimiter kind.
+nothing of the column is collected but one probability per delimiter kind, and
+each round starts from tables written in the shared folder.
 A segment may be as long as its field. One that no other field holds weighs the
 same as an unseen one, so only shared ones are carried through the rounds.
 
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.plans.lineage import cut
+
 _CJK = re.compile("[㐀-䶿一-鿿豈-﫿]")
 _DELIMITER = re.compile(r"[ \t]*(?:[;；、,，/／|｜\t\n\r]+[ \t]*)+")
 _PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "{": "}", "“": "”", "«": "»", "《": "》", "「": "」"}
@@ -146,16 +149,16 @@ def key(value: str) -> str:
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["k", "a", "b", "value", "pieces"]
+    columns = ["k", "a", "b", "value", "pieces", "lesson"]
     for pdf in batches:
         rows = []
-        for k, raw in zip(pdf["k"], pdf["t"]):
+        for k, raw, lesson in zip(pdf["k"], pdf["t"], pdf["lesson"]):
             keys = [key(p) for p in lattice(raw)[0]]
             for i in range(len(keys)):
                 value = ""
                 for j in range(i + 1, len(keys) + 1):
                     value = f"{value} {keys[j - 1]}" if value else keys[j - 1]
-                    rows.append((k, i, j, value, len(keys)))
+                    rows.append((k, i, j, value, len(keys), lesson))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -242,24 +245,28 @@ class Cuts:
 def separated(fields: DataFrame, key_col: str, column: str, rounds: int = 3) -> DataFrame:
     """(key_col, value_pos, value, values): one row per value of each field, ``values`` being how many there are."""
     rows = fields.select(F.col(key_col).alias("k"), F.col(column).alias("t"))
-    distinct = rows.where("t is not null").groupBy("t").agg(F.min("k").alias("k")).persist()
     # a field learns once in whatever dress it is repeated, so that a hot one can't outvote the column
     dress = F.lower(F.regexp_replace(F.translate("t", _DRESSED, _UNDRESSED), r"[^\p{L}\p{N}]+", ""))
-    lesson = distinct.groupBy(dress.alias("_d")).agg(F.min("k").alias("k")).select("k")
-    cand = distinct.mapInPandas(_segments, "k long, a int, b int, value string, pieces int").persist()
-    learn = cand.join(lesson, "k", "left_semi")
-    single = learn.where("pieces = 1").groupBy("value").agg(F.count("*").cast("double").alias("n")).persist()
+    each = rows.where("t is not null").groupBy("t").agg(F.min("k").alias("k")).withColumn("_d", dress)
+    taught = each.groupBy("_d").agg(F.min("k").alias("_first"))
+    distinct = cut(each.join(taught, "_d").select("t", "k", (F.col("k") == F.col("_first")).alias("lesson")))
+    cand = cut(distinct.mapInPandas(_segments, "k long, a int, b int, value string, pieces int, lesson boolean"))
+    learn = cand.where("lesson")
+    single = cut(learn.where("pieces = 1").groupBy("value").agg(F.count("*").cast("double").alias("n")))
     shared = learn.groupBy("value").agg(F.count("*").alias("fields")).where("fields > 1")
     # each field keeps its first piece, so that it stays though it shares nothing
-    multi = cand.where("pieces > 1").join(shared, "value", "left").where("fields is not null or a = 0 and b = 1").select("k", "a", "b", "value").persist()
-    total = float(max(1, lesson.count()))
+    several = cand.where("pieces > 1").join(shared, "value", "left").where("fields is not null or a = 0 and b = 1").select("k", "a", "b", "value")
+    multi = cut(several.join(distinct, "k").select("k", "t", "lesson", "a", "b", "value"))
+    total = float(max(1, distinct.where("lesson").count()))
     prior: dict[str, float] = {}
     counts = single
-    for step in range(rounds + 1):
-        weighed = multi.join(counts, "value", "left").groupBy("k").agg(F.collect_list(F.struct("a", "b", "value", F.coalesce("n", F.lit(0.0)).alias("p"))).alias("segs"))
-        lattices = distinct.join(weighed, "k") if step == rounds else distinct.join(weighed, "k").join(lesson, "k", "left_semi")
-        if step == rounds:
-            break
+
+    def lattices(segments: DataFrame, counts: DataFrame) -> DataFrame:
+        """(t, segs): each field with its listed segments and how often they were seen."""
+        weighed = segments.join(counts, "value", "left").withColumn("p", F.coalesce("n", F.lit(0.0)))
+        return weighed.groupBy("k").agg(F.first("t").alias("t"), F.collect_list(F.struct("a", "b", "value", "p")).alias("segs")).select("t", "segs")
+
+    for _ in range(rounds):
 
         def expect(batches: Iterator[pd.DataFrame], prior=dict(prior)) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -267,15 +274,16 @@ def separated(fields: DataFrame, key_col: str, column: str, rounds: int = 3) ->
                 for t, segs in zip(pdf["t"], pdf["segs"]):
                     kinds = lattice(t)[1]
                     named = {(s["a"], s["b"]): s["value"] for s in segs}
-                    found, cut = Cuts(kinds, {(s["a"], s["b"]): s["p"] for s in segs}, prior, total).shares()
+                    found, cuts = Cuts(kinds, {(s["a"], s["b"]): s["p"] for s in segs}, prior, total).shares()
                     out += [(named[ij], None, p) for ij, p in found.items() if p > 1e-6]
-                    out += [(None, k, cut[j]) for j, k in enumerate(kinds, 1)]
+                    out += [(None, k, cuts[j]) for j, k in enumerate(kinds, 1)]
                 yield pd.DataFrame(out, columns=["value", "kind", "p"])
 
-        soft = lattices.mapInPandas(expect, "value string, kind string, p double").persist()
+        # one shuffle for both sums of a round, and nothing of a round is left in the plan of the next
+        soft = cut(lattices(multi.where("lesson"), counts).mapInPandas(expect, "value string, kind string, p double").groupBy("value", "kind").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
         # one row per kind of delimiter
-        prior = {r["kind"]: min(0.999, max(0.001, (r["s"] + 1) / (r["n"] + 2))) for r in soft.where("kind is not null").groupBy("kind").agg(F.sum("p").alias("s"), F.count("*").alias("n")).collect()}
-        counts = single.unionByName(soft.where("value is not null").select("value", F.col("p").alias("n"))).groupBy("value").agg(F.sum("n").alias("n"))
+        prior = {r["kind"]: min(0.999, max(0.001, (r["s"] + 1) / (r["n"] + 2))) for r in soft.where("kind is not null").collect()}
+        counts = single.unionByName(soft.where("value is not null").select("value", F.col("s").alias("n"))).groupBy("value").agg(F.sum("n").alias("n"))
 
     def viterbi(batches: Iterator[pd.DataFrame], prior=dict(prior)) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -286,7 +294,7 @@ def separated(fields: DataFrame, key_col: str, column: str, rounds: int = 3) ->
                 out += [(t, pos, clean(", ".join(pieces[a:b])), len(cuts)) for pos, (a, b) in enumerate(cuts, 1)]
             yield pd.DataFrame(out, columns=["t", "value_pos", "value", "values"])
 
-    several = lattices.mapInPandas(viterbi, "t string, value_pos long, value string, values int")
+    several = lattices(multi, counts).mapInPandas(viterbi, "t string, value_pos long, value string, values int")
     one = distinct.mapInPandas(_single, "t string, value_pos long, value string, values int")
     return rows.join(several.unionByName(one), "t").select(F.col("k").alias(key_col), "value_pos", "value", "values")
 
