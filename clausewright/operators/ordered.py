@@ -18,9 +18,15 @@ from clausewright.plans.lineage import cut
 BUCKET = 4096
 
 
-def bucketed(df: DataFrame, position: str, size: int = BUCKET) -> DataFrame:
-    """``df`` with ``_bucket``, the place of ``position`` in steps of ``size``."""
-    return df.withColumn("_bucket", F.floor(F.col(position) / size))
+def bucketed(df: DataFrame, group: list[str], order: list[str], size: int | None = None) -> DataFrame:
+    """``df`` with ``_bucket``, ascending along the order of each group, of about ``size`` rows each.
+
+    Buckets are the ranges of a range partitioning by group and order, so they
+    follow ranks: neither sparse nor dense positions make them small or large,
+    and rows with equal places stay together.
+    """
+    n = max(1, -(-df.count() // (size or BUCKET)))
+    return cut(df.repartitionByRange(n, *group, *order).withColumn("_bucket", F.spark_partition_id()))
 
 
 def _local(group: list[str], order: list[str]):

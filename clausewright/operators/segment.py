@@ -49,7 +49,7 @@ def with_headings(content: DataFrame) -> DataFrame:
     A Chinese heading takes the English one of its kind in the next line; a
     part ends chapter and appendix, these don't end each other.
     """
-    d = ordered.bucketed(content, "ord").withColumn("heading", X.heading_kind(F.col("line")))
+    d = ordered.bucketed(content, GROUP, ORDER).withColumn("heading", X.heading_kind(F.col("line")))
     d = ordered.neighbour(d, GROUP, ORDER, "line", "next_line", 1)
     place = F.struct(*ORDER)
 
@@ -95,7 +95,7 @@ def clauses(rows: DataFrame) -> DataFrame:
     )
     keep = (F.col("first.kind") == "Z") & (F.col("zh_text") != "") & ~((F.length(X.compact(F.col("zh_text"))) < 6) & (F.length(X.compact(F.col("en_text"))) < 20))
     kept = runs.where(keep).select("source_id", F.col("first.ord").alias("ord"), F.col("first.block_id").alias("block_id"), "zh_text", "en_text", *[F.col(f"first.{c}").alias(c) for c in _SECTION])
-    return ordered.running_sum(ordered.bucketed(kept, "ord"), GROUP, ORDER, F.lit(1), "clause_index").drop("_bucket", "ord", "block_id")
+    return ordered.running_sum(ordered.bucketed(kept, GROUP, ORDER), GROUP, ORDER, F.lit(1), "clause_index").drop("_bucket", "ord", "block_id")
 
 
 def clause_records(found: DataFrame, sources: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def clause_records(found: DataFrame, sources: DataFrame) -> DataFrame:
 
 def folded(rows: DataFrame) -> DataFrame:
     """Lines of each source with every line without an ideograph appended to the line before it."""
-    d = ordered.bucketed(rows.where(~X.is_noise(F.col("line"))), "ord")
+    d = ordered.bucketed(rows.where(~X.is_noise(F.col("line"))), GROUP, ORDER)
     d = ordered.running_sum(d, GROUP, ORDER, X.has_cjk(F.col("line")).cast("long"), "_n")
     # leading lines without an ideograph form one fold of their own
     got = F.array_sort(F.collect_list(F.struct(*ORDER, "line")))
@@ -139,7 +139,7 @@ def category_keys(spark: SparkSession, more: DataFrame | None = None) -> DataFra
 def with_category(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Lines with the category announced last before them (the first anchor's by default) and whether they announce one."""
     found = rows.join(keys, X.anchor_key(F.col("line")) == F.col("key"), "left")
-    d = ordered.bucketed(found, "ord").withColumn("is_anchor", F.col("key").isNotNull())
+    d = ordered.bucketed(found, GROUP, ORDER).withColumn("is_anchor", F.col("key").isNotNull())
     own = F.when(F.col("is_anchor"), F.struct("category_zh", "category_en"))
     d = ordered.last_seen(d.withColumn("_own", own).drop("category_zh", "category_en", "key"), GROUP, ORDER, {"_cat": F.col("_own")})
     first = X.CATEGORIES[0]
@@ -164,7 +164,7 @@ def term_records(rows: DataFrame, sources: DataFrame) -> DataFrame:
     pairs = rows.where(~F.col("is_anchor")).select("source_id", "ord", "block_id", "category_zh", "category_en", F.posexplode(X.term_pairs(F.col("line"))).alias("pos", "p"))
     flat = pairs.select("source_id", "ord", "block_id", "pos", "category_zh", "category_en", "p.term_zh", "p.term_en").where(~X.low_quality_pair(F.col("term_zh"), F.col("term_en")))
     order = [*ORDER, "pos"]
-    t = ordered.running_sum(ordered.bucketed(flat, "ord"), GROUP, order, F.lit(1), "n").drop("_bucket")
+    t = ordered.running_sum(ordered.bucketed(flat, GROUP, order), GROUP, order, F.lit(1), "n").drop("_bucket")
     t = t.join(sources.select("source_id", "source_title", "source_file"), "source_id", "left")
     t = t.withColumns({"abbreviation": X.abbreviation(F.col("term_en")), "full_form": X.full_form(F.col("term_en"))})
     empty = F.lit("")

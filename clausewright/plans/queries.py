@@ -295,7 +295,7 @@ def q43_clause_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q44_next_line(spark: SparkSession, d: str) -> DataFrame:
-    rows = ordered.bucketed(segment.lines(table(spark, d, "blocks")), "ord", 16)
+    rows = ordered.bucketed(segment.lines(table(spark, d, "blocks")), segment.GROUP, segment.ORDER)
     return ordered.neighbour(rows, segment.GROUP, segment.ORDER, "line", "next_line", 1).select("block_id", "next_line")
 
 
