@@ -7,6 +7,7 @@ and a score is summed without moving; idf stays global.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -139,6 +140,14 @@ def search(queries: DataFrame, postings: DataFrame, idf: DataFrame, key: str, qu
     return top_hits(scored, [query_id], [F.desc(F.round("score", 9)), F.desc(key)], top)
 
 
+Finder = Callable[[list[DataFrame], int, list[str]], list[DataFrame]]  # hits of each set of questions: sets, top, record types
+
+
+def finder(postings: DataFrame, idf: DataFrame, key: str, query_id: str = "query_id", how: Vectorizer = PLAIN) -> Finder:
+    """:func:`search` in postings."""
+    return lambda sets, top, types: [search(s, postings, idf, key, query_id, top=top, types=types, how=how) for s in sets]
+
+
 def top_hits(scored: DataFrame, group: list[str], order: list[Column], top: int) -> DataFrame:
     """Rows ranked 1..top within their group; the rank filter is a limit below the window's shuffle."""
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

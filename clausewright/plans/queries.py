@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as X
-from clausewright.operators import evaluate, index, ordered, packed, rank, retrieve, segment
+from clausewright.operators import evaluate, index, ordered, packed, rank, retrieve, scan, segment
 from clausewright.plans.lineage import cut
 from clausewright.sources import docx
 from clausewright.sources.tables import table
@@ -147,6 +147,22 @@ def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return built[state]
 
 
+def _finder(spark: SparkSession, d: str) -> index.Finder:
+    """Search of all records where they are read; gram counts are made once a session for each state of the tables."""
+    counted = spark.__dict__.setdefault("_clausewright_grams", {})
+    state = _state(spark, d, ("regulation_clause", "glossary_term"))
+    records = _records(spark, d)
+    if state not in counted:
+        counted.clear()
+        counted[state] = cut(scan.frequencies(records, "retrieval_text")), records.count()
+
+    def by_index(sets: list[DataFrame], top: int, types: list[str]) -> list[DataFrame]:
+        p, idf, _ = _index(spark, d)
+        return index.finder(p, idf, _KEY)(sets, top, types)
+
+    return scan.finder(records, *counted[state], _KEY, "retrieval_text", by_index)
+
+
 def q16_tf(spark: SparkSession, d: str) -> DataFrame:
     tf = index.term_frequency(_records(spark, d), _KEY, "retrieval_text")
     return tf.groupBy(_KEY).agg(F.count(F.lit(1)).alias("grams"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
@@ -202,9 +218,8 @@ def q23_regulation_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q24_dual_channel(spark: SparkSession, d: str) -> DataFrame:
-    p, idf, _ = _index(spark, d)
     q = table(spark, d, "queries")
-    channels = retrieve.dual_channel(q, _terms(spark, d), p, idf, _KEY)
+    channels = retrieve.dual_channel(q, _terms(spark, d), None, None, _KEY, find=_finder(spark, d))
     return retrieve.chosen_channel(q, channels).select("query_id", "query_type", "channel", _KEY, "score", "rank")
 
 

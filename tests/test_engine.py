@@ -8,11 +8,13 @@ import re
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clausewright import cli
-from clausewright.operators import evaluate, index, ordered, packed, rank, retrieve, segment
+from clausewright.operators import evaluate, index, ordered, packed, rank, retrieve, scan, segment, within
+from clausewright.plans import queries as plans
 from clausewright.sources import docx, sinks
 from clausewright.streaming import ask
 
@@ -132,6 +134,87 @@ def test_dictionary_against_nested_loops(spark):
     assert wide[3] == "啊啊" and wide[2].startswith("contact wire ") and "接触线" in wide[2]
 
 
+def test_grams_are_counted_as_by_a_loop():
+    rnd = random.Random(1)
+    wide = [chr(c) for c in (*range(0x4E00, 0x4E00 + 20000), *range(0x20000, 0x20000 + 20000))]  # too many for one number
+    for texts in ([], [""], ["a", "", "abab", "\0\0a"], ["".join(rnd.choice("ab😀线") for _ in range(30)) for _ in range(20)], ["".join(wide), "ab", "".join(wide[5:50] * 2)]):
+        codes, lengths = scan.points(texts)
+        row = np.repeat(np.arange(len(texts)), lengths)
+        for n in (2, 3, 4):
+            want = Counter((t[i : i + n], k) for k, t in enumerate(texts) for i in range(len(t) - n + 1))
+            hi, lo, start, r, tf = scan.counted(codes, row, len(texts), n)
+            names = ["".join(chr((v >> 21 * j & 0x1FFFFF) - 1) for v, w in ((h, n - 3), (x, min(n, 3))) for j in range(w - 1, -1, -1)) for h, x in zip(hi.tolist(), lo.tolist())]
+            assert {(names[g], int(r[i])): int(tf[i]) for g in range(len(names)) for i in range(start[g], start[g + 1])} == want
+
+
+@pytest.mark.parametrize(("known", "block"), [(1 << 21, 1 << 21), (20, 40)])
+def test_scan_finds_what_the_index_finds(spark, monkeypatch, known, block):
+    monkeypatch.setattr(scan, "KNOWN", known)
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["接触线", "contact", "Wire", "吊弦", "😀", "dropper  x"]) for _ in range(rnd.randrange(6))) for _ in range(60)] + [None, "", "a", "contact Wire", "contact Wire"]
+    rec = spark.createDataFrame([(k * 10, t, "regulation_clause" if k % 3 else "glossary_term") for k, t in enumerate(texts)], "k long, x string, record_type string")
+    asked = [spark.createDataFrame(rows, "query_id long, query string") for rows in ([(1, "contact wire"), (2, "zzzz"), (3, None), (4, "接触线 吊弦 dropper")], [(1, "😀 Wire contact"), (5, "")], [(1, "")])]
+    by_index = index.finder(*index.build(rec, "k", "x", ["record_type"]), "k")
+    monkeypatch.setattr(scan, "BLOCK", block)
+    find = scan.finder(rec, scan.frequencies(rec, "x"), len(texts), "k", "x", None)
+    for top in (1, 7):
+        for got, want in zip(find(asked, top, ["regulation_clause"]), by_index(asked, top, ["regulation_clause"])):
+            assert {(h.query_id, h.k, h["rank"]): round(h.score, 9) for h in got.collect()} == {(h.query_id, h.k, h["rank"]): round(h.score, 9) for h in want.collect()}
+    assert [f.count() for f in find(asked[2:], 5, ["regulation_clause"])] == [0]
+    assert scan.finder(rec, None, 0, "k", "x", lambda *a: "other")(asked, 5, ["x"] * (monkeypatch.setattr(scan, "VECTORS", 2) or 1)) == "other"
+
+
+def test_texts_within_others_against_all_pairs():
+    rnd = random.Random(2)
+    some = lambda n, most: ["".join(rnd.choice("ab线😀") for _ in range(rnd.randrange(most))) for _ in range(n)]
+    for small in ([], ["a"], list(dict.fromkeys(t for t in some(40, 9) if t))):
+        many = [t for t in some(200, 12) if t]
+        text, which, equal = within.Small(small).pairs(many)
+        assert list(zip(text.tolist(), which.tolist(), equal.tolist())) == [(i, j, a == b) for i, a in enumerate(many) for j, b in enumerate(small) if a in b or b in a]
+
+
+def test_candidates_too_many_for_the_workers_are_joined(spark, monkeypatch):
+    rows = [(1, "接触线", "contact wire", "牵引供电"), (2, "线", "wire", "通用词汇"), (3, "吊弦", "Dropper", None), (4, None, None, "")]
+    terms = spark.createDataFrame([(*r, "", "", r[1], r[2], ["x", None]) for r in rows], "k string, term_zh string, term_en string, category_zh string, abbreviation string, full_form string, zh_text string, en_text string, aliases array<string>")
+    q = spark.createDataFrame([(1, "接触线和吊弦英文怎么说？"), (2, "contact wire"), (3, "啊啊")], "query_id long, query string")
+    met = sorted(retrieve.dictionary_matches(q, terms, "k").collect())
+    monkeypatch.setattr(index, "BROADCAST", -1)
+    assert met == sorted(retrieve.dictionary_matches(q, terms, "k").collect()) and met
+    assert retrieve.dictionary_matches(q.limit(0), terms, "k").count() == 0
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """A folder of small record tables and questions."""
+    rnd = random.Random(9)
+    names = "record_id, record_type, retrieval_text, zh_text, en_text, term_zh, term_en, abbreviation, full_form, category_zh, risk_level, content_type".split(", ")
+    schema = "row_id long, " + ", ".join(f"{n} string" for n in names) + ", aliases array<string>, evidence_priority int"
+    words = ["接触线", "吊弦", "contact wire", "dropper", "检修", "insulator"]
+    for kind in ("regulation_clause", "glossary_term"):
+        rows = []
+        for i in range(50):
+            zh, en = rnd.choice(words), rnd.choice(words)
+            text = " ".join(rnd.choice(words) for _ in range(5))
+            rows.append((i, f"{kind}{i}", kind, f"{text} {zh} {en}", zh, en, zh, en, "", en, rnd.choice(["", "通用词汇", "牵引供电"]), "high", "rule", [zh, None], i))
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{kind}.parquet"))
+    asked = ["接触线英文怎么说？", "吊弦检修有哪些步骤？", "what does dropper mean in Chinese", "insulator 检修周期", "论文实验", "双语 gggg"]
+    spark.createDataFrame(list(enumerate(asked)), "query_id long, query string").write.parquet(str(tmp_path / "queries.parquet"))
+    return str(tmp_path)
+
+
+def no_index(*_):
+    raise AssertionError("postings of all records are built for a few questions")
+
+
+def test_dual_channel_reads_records_without_postings(spark, tables, monkeypatch):
+    p, idf, records = plans._index(spark, tables)
+    q = spark.read.parquet(f"{tables}/queries.parquet")
+    want = retrieve.chosen_channel(q, retrieve.dual_channel(q, records.where("record_type = 'glossary_term'"), p, idf, "record_key"))
+    want = {(r.query_id, r.channel, r.record_key, r.score, r["rank"]) for r in want.collect()}
+    monkeypatch.setattr(plans, "_index", no_index)
+    assert {(r.query_id, r.channel, r.record_key, r.score, r["rank"]) for r in plans.q24_dual_channel(spark, tables).collect()} == want and want
+
+
 def test_snippet_rerank_and_metrics(spark):
     df = spark.createDataFrame([("吊弦检查", "无关。 检查吊弦。 吊弦检查两次，吊弦。"), ("x", ""), ("吊弦", "a。 b。")], "q string, b string")
     assert [r[0] for r in df.select(rank.best_snippet(F.col("q"), F.col("b"))).collect()] == ["吊弦检查两次，吊弦。", "", "a。"]
