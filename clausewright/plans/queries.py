@@ -208,10 +208,10 @@ def q22_expand_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q23_regulation_search(spark: SparkSession, d: str) -> DataFrame:
-    p, idf, _ = _index(spark, d)
+    find = _finder(spark, d)
     q, terms = table(spark, d, "queries"), _terms(spark, d)
-    wide = retrieve.expanded(q, retrieve.dictionary_search(q, terms, _KEY, p, idf, top=3), terms, _KEY)
-    found = retrieve.traced(retrieve.regulation_search(q, wide, p, idf, _KEY), _records(spark, d), _KEY)
+    wide = retrieve.expanded(q, retrieve.dictionary_search(q, terms, _KEY, top=3, find=find), terms, _KEY)
+    found = retrieve.traced(retrieve.regulation_search(q, wide, None, None, _KEY, find=find), _records(spark, d), _KEY)
     t = F.col("retrieval_trace")
     said = rank.trace(t["channel"], t["content_type"], t["risk_level"], t["evidence_priority"])
     return found.select("query_id", _KEY, "score", "origin", t["matched_query"].alias("matched_query"), said.alias("trace"), "rank")

@@ -215,6 +215,18 @@ def test_dual_channel_reads_records_without_postings(spark, tables, monkeypatch)
     assert {(r.query_id, r.channel, r.record_key, r.score, r["rank"]) for r in plans.q24_dual_channel(spark, tables).collect()} == want and want
 
 
+def test_regulation_search_reads_records_without_postings(spark, tables, monkeypatch):
+    p, idf, records = plans._index(spark, tables)
+    q, terms = spark.read.parquet(f"{tables}/queries.parquet"), records.where("record_type = 'glossary_term'")
+    wide = retrieve.expanded(q, retrieve.dictionary_search(q, terms, "record_key", p, idf, top=3), terms, "record_key")
+    columns = ("query_id", "record_key", "score", "origin", "matched_query", "rank")
+    want = {tuple(r[c] for c in columns) for r in retrieve.regulation_search(q, wide, p, idf, "record_key").collect()}
+    monkeypatch.setattr(plans, "_index", no_index)
+    got = plans.q23_regulation_search(spark, tables).collect()
+    assert {tuple(r[c] for c in columns) for r in got} == want and want
+    assert {r.trace for r in got} <= {f"channel=regulation, content_type=rule, risk_level=high, evidence_priority={i}" for i in range(50)}
+
+
 def test_snippet_rerank_and_metrics(spark):
     df = spark.createDataFrame([("吊弦检查", "无关。 检查吊弦。 吊弦检查两次，吊弦。"), ("x", ""), ("吊弦", "a。 b。")], "q string, b string")
     assert [r[0] for r in df.select(rank.best_snippet(F.col("q"), F.col("b"))).collect()] == ["吊弦检查两次，吊弦。", "", "a。"]
